@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.llm import recompression as R
-from acervo.runtime import cut, table
+from acervo.runtime import broadcast_if_small, cut, table
 
 LEAST = 250
 WINDOW = 72
@@ -182,7 +182,7 @@ def shared_spans(
     spread = _spread(least, window)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= least)
     rows = rows.withColumn("class", F.xxhash64("text"))
-    members = rows.select("class", F.col("key").alias(key), F.length("text").alias("n"))
+    members = cut(rows.select("class", F.col("key").alias(key), F.length("text").alias("n")))
     named = rows.select("class", "text").mapInArrow(
         _name_places(window, spread, least), "name bigint, class bigint, start int"
     )
@@ -207,6 +207,7 @@ def shared_spans(
     )
     meet = cut(meet)
     asked = meet.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    asked = broadcast_if_small(asked)
     texts = cut(rows.select("class", "text").join(asked, "class", "left_semi").dropDuplicates(["class"]))
     spans = (
         meet.join(texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), "class_a")
