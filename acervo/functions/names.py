@@ -42,7 +42,7 @@ NICKNAMES = {
     "quino": ("joaquin",), "jse": ("jose",), "pepe": ("jose",), "ze": ("jose",), "lola": ("dolores",), "loli": ("dolores",),
     "lu": ("lucia",), "lucy": ("lucia",), "luci": ("lucia",), "luchi": ("lucia",), "mnl": ("manuel",), "manolo": ("manuel",), "manu": ("manuel",),
     "marg": ("margaret",), "maggie": ("margaret",), "meg": ("margaret",), "peggy": ("margaret",), "mar": ("maria",),
-    "ma": ("maria",), "quique": ("enrique",), "kike": ("enrique",), "tom": ("tomas",), "tomy": ("tomas",), "tommy": ("tomas",),
+    "ma": ("maria",), "quique": ("enrique",), "kike": ("enrique",), "tom": ("tomas",), "tomy": ("tomas",), "tommy": ("tomas",), "thomas": ("tomas",),
     "vero": ("veronica",), "xavi": ("xavier",), "javi": ("xavier", "javier"), "yoli": ("yolanda",), "yola": ("yolanda",),
 }
 
