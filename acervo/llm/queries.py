@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from acervo.llm.encode_corpus import p8_ids
 from acervo.llm.entity_match import p4_found, p4_matches
 from acervo.llm.eval_leaks import p9_found
+from acervo.llm.name_variants import p1_clusters, p1_found
 from acervo.llm.near_records import p7_found, p7_groups
 from acervo.llm.shared_spans import p10_coverage, p10_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p4_found": p4_found,
     "p4_matches": p4_matches,
     "p7_found": p7_found,
