@@ -12,10 +12,12 @@ from acervo.llm.eval_leaks import p9_found
 from acervo.llm.name_variants import p1_clusters, p1_found
 from acervo.llm.near_records import p7_found, p7_groups
 from acervo.llm.shared_spans import p10_coverage, p10_found
+from acervo.llm.survivors import p2_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_matches": p4_matches,
     "p7_found": p7_found,
