@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,29 @@ BROADCAST_ROWS = 200_000
 NULL_TOKENS = ("", "nan", "none", "null", "na", "n/a")
 
 
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's source to the Python workers of the session's application, once."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    sources = sorted(root.rglob("*.py"))
+    mark = hashlib.sha256(b"".join(p.read_bytes() for p in sources)).hexdigest()[:12]
+    folder = Path(tempfile.mkdtemp(prefix="acervo-"))
+    target = folder / f"acervo-{mark}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sources:
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped[sc.applicationId] = str(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
