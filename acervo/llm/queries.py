@@ -11,6 +11,7 @@ from acervo.llm.entity_match import p4_found, p4_matches
 from acervo.llm.eval_leaks import p9_found
 from acervo.llm.name_variants import p1_clusters, p1_found
 from acervo.llm.near_records import p7_found, p7_groups
+from acervo.llm.scan_noise import p3_found, p3_repaired
 from acervo.llm.shared_spans import p10_coverage, p10_found
 from acervo.llm.survivors import p2_found
 
@@ -18,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_matches": p4_matches,
     "p7_found": p7_found,
