@@ -25,7 +25,7 @@ from acervo.llm import pages
 from acervo.runtime import cut, known, table
 
 #: A word is linked to one that occurs this many times oftener; words with foreign signs to any known one.
-OFTENER = 8
+OFTENER = 4
 KNOWN_LEAST = 2
 #: Context words on each side, and the shift of the mutual information.
 REACH = 2
