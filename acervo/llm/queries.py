@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from acervo.llm.encode_corpus import p8_ids
 from acervo.llm.entity_match import p4_found, p4_matches
 from acervo.llm.eval_leaks import p9_found
+from acervo.llm.languages import p6_found, p6_languages
 from acervo.llm.name_variants import p1_clusters, p1_found
 from acervo.llm.near_records import p7_found, p7_groups
 from acervo.llm.scan_noise import p3_found, p3_repaired
@@ -23,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_matches": p4_matches,
+    "p6_found": p6_found,
+    "p6_languages": p6_languages,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
