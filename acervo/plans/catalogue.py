@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from acervo.operators.packed_values import split_packed
+from acervo.plans import network_queries, text_queries, topic_queries  # noqa: F401
+from acervo.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from acervo.runtime import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with its checking SQL where SQL can express it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every author and keyword of every record, one a row, with its position."""
