@@ -21,11 +21,11 @@ def as_column(c: Column | str) -> Column:
 
 @lru_cache(maxsize=1)
 def _accent_map() -> tuple[str, str]:
-    """Letters that decompose to one ASCII letter, and those letters: built by rule."""
+    """Letters that decompose to one letter and marks, and those letters: built by rule."""
     pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = unicodedata.normalize("NFD", chr(code))[0]
-        if base != chr(code) and base.isascii():
+    for code in range(0xC0, 0x3100):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.category(m) == "Mn" for m in marks):
             pairs.append((chr(code), base))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -213,7 +213,8 @@ def highlight(c: Column | str, word: str, before: str = "<mark>", after: str = "
     source, target = _accent_map()
     variants: dict[str, str] = {}
     for a, b in zip(source, target):
-        variants[b.lower()] = variants.get(b.lower(), "") + a
+        if b.isascii():
+            variants[b.lower()] = variants.get(b.lower(), "") + a
     pattern = "".join(f"[{x}{variants.get(x, '')}]" if x.isalnum() else rf"\{x}" for x in word.lower())
     return F.regexp_replace(as_column(c), f"(?iu)({pattern})", f"{before}$1{after}")
 

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 #: Normal forms as DuckDB writes them; {0} is the text.
 def sql_squeeze(x: str) -> str:
-    return rf"trim(regexp_replace({x}, '[ \t\n\r\f]+', ' ', 'g'))"
+    return rf"trim(regexp_replace({x}, '[ \t\n\r\f]+', ' ', 'g'), ' ')"
 
 
 def sql_norm(x: str) -> str:
@@ -35,8 +35,8 @@ def sql_norm(x: str) -> str:
 
 def sql_clean(x: str) -> str:
     return (
-        f"(case when lower(trim(coalesce({x}, ''))) in ('', 'nan', 'none', 'null', 'na', 'n/a') "
-        f"then '' else trim(coalesce({x}, '')) end)"
+        f"(case when lower(trim(coalesce({x}, ''), ' ')) in ('', 'nan', 'none', 'null', 'na', 'n/a') "
+        f"then '' else trim(coalesce({x}, ''), ' ') end)"
     )
 
 

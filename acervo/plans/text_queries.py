@@ -69,7 +69,7 @@ def title_keys(spark, d):
     r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
       text, '(?i)https?://\S+|www\.\S+', ' ', 'g'), '(?i)\b(?:doi:\s*)?10\.\d{4,9}/\S+', ' ', 'g'),
       '(?i)\b(?:e-?)?issn:?\s*\d{4}-?\d{3}[0-9x]', ' ', 'g'), '[\w.+-]+@[\w-]+\.[\w.]+', ' ', 'g'),
-      '(?i)\bhdl:\S+|\bhandle/\S+', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) as scrubbed
+      '(?i)\bhdl:\S+|\bhandle/\S+', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'), ' ') as scrubbed
     from documents where text is not null""",
 )
 def scrubbed_text(spark, d):
