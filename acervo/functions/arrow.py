@@ -124,7 +124,7 @@ def parse_reference(raw: str | None) -> dict[str, str | None]:
     link = re.search(r"\]\((https?://[^)\s]+)\)", text) or re.search(r"(https?://\S+)", text)
     found = re.search(r"10\.\d{4,9}/[^\s)\]]+", text)
     before, after = (text[: year.start()], text[year.end() :]) if year else ("", text)
-    title = re.search(r"\*{1,2}([^*]+)\*{1,2}|\[([^\]]+)\]|^[.\s]*([^.]+)", after)
+    title = re.match(r"\*{1,2}([^*]+)\*{1,2}|\[([^\]]+)\]|([^.]+)", after.lstrip(" .,)"))
     return {
         "authors": before.strip(" .,*") or None,
         "year": year[1] if year else None,

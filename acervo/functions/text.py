@@ -87,7 +87,7 @@ def substring_hits(text: Column, terms: list[str]) -> Column:
 
 
 def drop_phrases(text: Column, phrases: list[str]) -> Column:
-    """The text with whole-word phrases taken out, one after the other."""
+    """The text with whole-word phrases taken out; of two that touch, the first goes."""
     out = F.concat(F.lit(" "), text, F.lit(" "))
     for p in phrases:
         out = F.replace(out, F.lit(f" {p} "), F.lit(" "))

@@ -34,5 +34,10 @@ def combine(parts: list[tuple[Column, float]]) -> Column:
     out = zeros
     for v, w in parts:
         share = F.lit(w) / F.nullif(total, F.lit(0.0))
-        out = F.zip_with(out, F.coalesce(v, zeros), lambda s, x, share=share: s + x.cast("double") * share)
+        part = F.transform(F.coalesce(v, zeros), _times(share))
+        out = F.zip_with(out, part, lambda s, x: s + x)
     return unit(out)
+
+
+def _times(share: Column):
+    return lambda x: x.cast("double") * share
