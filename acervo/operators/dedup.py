@@ -38,18 +38,18 @@ def _compatible(a: str, b: str):
     return (F.size(x) >= 2) & (F.size(y) >= 2) & (within | (F.size(F.array_intersect(x, y)) >= 2))
 
 
-def _chain(df: DataFrame, key: str, phase: int, id_: str) -> DataFrame:
-    """Links of rows that share an exact key, in a chain of neighbours rather than all pairs."""
-    w = Window.partitionBy(key).orderBy(id_)
-    linked = df.where(F.col(key).isNotNull()).withColumn("prev", F.lag(id_).over(w)).where("prev is not null")
-    return linked.select(F.col("prev").alias("a"), F.col(id_).alias("b"), F.lit(phase).alias("phase"))
+def _star(df: DataFrame, key: str, phase: int, id_: str) -> DataFrame:
+    """Links of rows that share an exact key to the least of them, rather than all pairs."""
+    known = df.where(F.col(key).isNotNull()).select(key, id_)
+    least = known.groupBy(key).agg(F.min(id_).alias("a"))
+    return known.join(least, key).where(F.col("a") != F.col(id_)).select("a", F.col(id_).alias("b"), F.lit(phase).alias("phase"))
 
 
 def title_links(keyed: DataFrame, id_: str = "record_id", years: int = 2) -> DataFrame:
     """Pairs under one title with compatible first authors and years at most ``years`` apart.
 
     Rows equal in title, names and year meet as one class; pairs are made between classes
-    and returned between their least ids; the members of a class are linked in a chain.
+    and returned between their least ids; the members of a class are linked to its least.
     """
     k = keyed.where("k_title is not null and length(k_title) >= 12").select(id_, "k_title", "k_names", "year", "k_doi")
     k = k.withColumn("class", F.xxhash64("k_title", F.array_sort("k_names"), F.coalesce("year", F.lit(-1)), F.coalesce("k_doi", F.lit(""))))
@@ -62,14 +62,14 @@ def title_links(keyed: DataFrame, id_: str = "record_id", years: int = 2) -> Dat
     )
     across = pairs.select(F.col(f"l.{id_}").alias("a"), F.col(f"r.{id_}").alias("b"), F.lit(2).alias("phase"))
     told = k.where(F.size("k_names") >= 2)
-    return across.unionByName(_chain(told, "class", 2, id_))
+    return across.unionByName(_star(told, "class", 2, id_))
 
 
 def candidate_links(keyed: DataFrame, id_: str = "record_id") -> DataFrame:
     """``a, b, phase``: by DOI (0), link (1), title with people (2), long equal abstract (3)."""
     return (
-        _chain(keyed, "k_doi", 0, id_).unionByName(_chain(keyed, "k_url", 1, id_))
-        .unionByName(title_links(keyed, id_)).unionByName(_chain(keyed, "k_abstract", 3, id_))
+        _star(keyed, "k_doi", 0, id_).unionByName(_star(keyed, "k_url", 1, id_))
+        .unionByName(title_links(keyed, id_)).unionByName(_star(keyed, "k_abstract", 3, id_))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions import text as T
@@ -14,9 +14,8 @@ def index_rows(df: DataFrame, key: str, text: Column | str) -> DataFrame:
 
 
 def postings(rows: DataFrame, key: str, chunk: int = 100_000) -> DataFrame:
-    """``token, part, docs``: sorted postings, cut into parts of bounded size so no row grows with the corpus."""
-    order = Window.partitionBy("token").orderBy(key)
-    cut_up = rows.withColumn("part", F.floor((F.row_number().over(order) - 1) / chunk).cast("int"))
+    """``token, part, docs``: sorted postings by ranges of ``chunk`` keys, so no row grows with the corpus."""
+    cut_up = rows.withColumn("part", F.floor(F.col(key) / chunk).cast("int"))
     return cut_up.groupBy("token", "part").agg(F.sort_array(F.collect_list(key)).alias("docs"))
 
 

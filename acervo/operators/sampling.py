@@ -15,7 +15,9 @@ def stratified(df: DataFrame, stratum: str, key: str, allocation: dict[str, int]
     """A fixed number of rows per stratum."""
     size = F.create_map(*[F.lit(x) for kv in allocation.items() for x in kv])
     w = Window.partitionBy(stratum).orderBy(order_of(key, seed))
-    return df.where(F.col(stratum).isin(*allocation)).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= size[F.col(stratum)])
+    picked = df.where(F.col(stratum).isin(*allocation)).withColumn("pick", F.row_number().over(w))
+    # the literal bound lets every task keep its own best rows before the shuffle
+    return picked.where(F.col("pick") <= max(allocation.values())).where(F.col("pick") <= size[F.col(stratum)])
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, size: int, seed: int = 42) -> DataFrame:

@@ -306,7 +306,7 @@ _IDX = rf"""t as (select doc_id, unnest(list_distinct(regexp_extract_all(regexp_
   from documents where text is not null), i as (select * from t where length(token) between 2 and 40 and regexp_matches(token, '[a-z]'))"""
 
 
-@query("inverted_index", f"with {_IDX} select token, 0 as part, list(doc_id order by doc_id) as docs from i group by token")
+@query("inverted_index", f"with {_IDX} select token, (doc_id // 100000)::int as part, list(doc_id order by doc_id) as docs from i group by 1, 2")
 def inverted_index(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     return retrieval.postings(retrieval.index_rows(docs, "doc_id", "text"), "doc_id")

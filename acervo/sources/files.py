@@ -109,7 +109,10 @@ def export_json(df: DataFrame, path: str, by: list[str], dictionary: str | None
     """Compact JSON files partitioned by ``by``; one text column may become numbers into a written dictionary."""
     terms = None
     if dictionary:
-        terms = df.select(dictionary).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(dictionary)) - 1)
+        from acervo.operators.stability import ranked_by
+
+        named = ranked_by(df.select(dictionary).distinct().withColumn("_s", F.lit(0)), "_s", dictionary)
+        terms = named.select(dictionary, (F.col("rank") - 1).alias("code"))
         terms.write.mode("overwrite").json(f"{path}/_terms")
         df = df.join(terms, dictionary).drop(dictionary).withColumnRenamed("code", dictionary)
     df.write.mode("overwrite").partitionBy(*by).json(f"{path}/rows")

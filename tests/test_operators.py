@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acervo.functions import arrow, identifiers, text, vectors
-from acervo.operators import classify, dedup, joins, keyword_network, neighbours, retrieval, sampling
+from acervo.operators import classify, dedup, joins, keyword_network, neighbours, records, retrieval, sampling, stability
 from acervo.operators.components import connected_components
 from acervo.sources import files, harvest
 
@@ -141,7 +141,7 @@ def test_retrieval(spark):
     r = retrieval.index_rows(df, "id", "t")
     assert rows(retrieval.holding_all(r, "id", ["alpha", "beta"])) == [(1,)]
     assert {t: d for t, _, d in rows(retrieval.postings(r, "id"))} == {"alpha": [1, 2], "beta": [1]}
-    assert rows(retrieval.postings(r, "id", chunk=1))[0] == ("alpha", 0, [1])
+    assert rows(retrieval.postings(r, "id", chunk=2))[0] == ("alpha", 0, [1])
     assert rows(retrieval.best_part(df, "id", "t", ["beta"])) == [(1, 1, 2)]
 
 
@@ -183,6 +183,30 @@ def test_harvest_pages_and_oai(spark, tmp_path):
     assert harvest.key_values(kv, "id", "key", "value").first()["values"] == {"k": "a|b", "z": "c"}
 
 
+def test_stability_and_assignment(spark):
+    o = spark.createDataFrame([("a", "x", 5), ("a", "y", 4), ("b", "x", 4), ("c", "z", 1)], "left string, right string, overlap int")
+    assert stability.assign(o) == [("a", "y", 4.0), ("b", "x", 4.0), ("c", "z", 1.0)]
+    assert stability.assign(o.limit(0)) == []
+    runs = spark.createDataFrame([(42, 42, 1.0), (42, 117, 0.2), (42, 233, 0.4)], "base_seed int, seed int, ari double")
+    got = stability.run_summary(runs, ["ari"]).first()
+    assert got["runs"] == 2 and got["mean_ari"] == pytest.approx(0.3)
+    r = stability.ranked_by(spark.createDataFrame([(i, i % 7) for i in range(50)], "id int, s int"), "s", "id")
+    assert [x["rank"] for x in r.orderBy(F.col("s").desc(), "id").collect()] == list(range(1, 51))
+
+
+def test_fills_corrections_and_carry_over(spark):
+    df = spark.createDataFrame([("1", "", 2000), ("2", "x", 2001)], "record_id string, doi string, year int")
+    s = spark.createDataFrame([("1", "d1"), ("2", "d2")], "record_id string, doi string")
+    got = records.fill(df, s, "record_id", ["doi"])
+    assert rows(got) == [("1", "d1", 2000, ["doi"]), ("2", "x", 2001, [])]
+    assert rows(records.fill(got.drop("changed"), s, "record_id", ["doi"]).select("changed")) == [([],), ([],)]
+    c = spark.createDataFrame([("1", "year", "1999", "http://e"), ("2", "year", "1998", ""), ("2", "doi", "z", "http://e")], "record_id string, field string, value string, evidence string")
+    assert rows(records.corrected(df, c, "record_id", ["year"])) == [("1", "", 1999), ("2", "x", 2001)]
+    old = spark.createDataFrame([("1", "yes")], "record_id string, decision string")
+    new = spark.createDataFrame([("1", ""), ("3", "")], "record_id string, decision string")
+    assert rows(records.carried_over(new, old, "record_id", ["decision"])) == [("1", "yes"), ("3", "")]
+
+
 def test_fetch_retries():
     import io
     import urllib.error
