@@ -28,6 +28,8 @@ from acervo.runtime import broadcast_if_small, cut, table
 LEAST = 250
 WINDOW = 72
 HOT = 64
+#: Classes whose copies one task recognises.
+SEEN_KEPT = 1_000_000
 #: Characters parsed at once by one task.
 PARSE_CHARS = 2_000_000
 
@@ -54,10 +56,15 @@ def _name_places(window: int, spread: int, least: int):
         classes: list[int] = []
         texts: list[str] = []
         held = 0
+        seen: set[int] = set()
         for batch in batches:
             for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t is None or len(t) < least:
+                if t is None or len(t) < least or c in seen:
                     continue
+                # a copy of a text of this task would give the same places again
+                if len(seen) == SEEN_KEPT:
+                    seen.clear()
+                seen.add(c)
                 classes.append(c)
                 texts.append(t)
                 held += len(t)
