@@ -38,7 +38,7 @@ def _is_page_number(s: str) -> bool:
     return inner.islower() and _ROMAN.fullmatch(inner) is not None
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=10_000)
 def _key(text: str) -> str:
     """Letters of a line, misread signs excused, page and volume numbers left out."""
     s = re.sub(r"^\s*\d+\s{2,}|\s{2,}[\dOol]+\s*$", "", text)

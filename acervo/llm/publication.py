@@ -76,7 +76,7 @@ class Person(NamedTuple):
     group: bool
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def person(name: str) -> Person:
     """Family words without particles, the first given name in its full form (or an initial)."""
     if is_organisation(name):
@@ -97,7 +97,7 @@ def person(name: str) -> Person:
     return Person(family_words, NICKNAMES.get(first, (first,))[0], False)
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=60_000)
 def near(a: str, b: str) -> bool:
     """Words that differ by no more slips than their length excuses."""
     if a == b:
@@ -129,7 +129,7 @@ class Title(NamedTuple):
     part: str
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=10_000)
 def title(text: str | None) -> Title | None:
     """Words of a title, its pieces between colons, what its brackets say, its instalment."""
     if text is None or text.strip().lower() in NULL_TOKENS:
@@ -168,7 +168,7 @@ def title(text: str | None) -> Title | None:
     return Title(tuple(w for p in pieces for w in p), tuple(map(tuple, pieces)), tuple(sorted(qualifiers)), part)
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=10_000)
 def people(text: str | None) -> tuple[Person, ...]:
     return tuple(dict.fromkeys(person(v.text) for v in parse(text, True)))
 
