@@ -145,6 +145,30 @@ def records_of_oai(pages_: DataFrame, terms: list[str], year_from: int = 2020, x
     return flat.where((F.col("publication_year") >= year_from) & wanted).dropDuplicates(["record_id"])
 
 
+def records_of_atom(pages_: DataFrame, kinds: list[str], prefix: str, year_from: int = 2020, xml: str = "xml") -> DataFrame:
+    """Records of Atom pages (column ``xml``): kinds of document, first year, DOI, page and PDF links; id by handle."""
+    entries = pages_.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)(<entry\b.*?</entry>)"), F.lit(1))).alias("e"))
+    bare = entries.select(F.regexp_replace("e", r"(</?)\w+:", "$1").alias("e")).select(F.regexp_replace("e", r'\s\w+:\w+="[^"]*"', "").alias("e"))
+    links = F.expr("xpath(e, \"//*[local-name()='link']/@href\")")
+    told = F.array_join(F.concat(_texts("e", "identifier"), links), " ")
+    year = F.regexp_extract(F.array_join(F.concat(_texts("e", "date"), _texts("e", "published")), " "), r"((?:19|20)\d{2})", 1).try_cast("int")
+    flat = bare.select(
+        F.try_element_at(_texts("e", "title"), F.lit(1)).alias("title"),
+        F.array_join(F.concat(_texts("e", "name"), _texts("e", "creator")), "; ").alias("authors"),
+        F.try_element_at(F.concat(_texts("e", "summary"), _texts("e", "description")), F.lit(1)).alias("abstract"),
+        F.lower(F.array_join(_texts("e", "type"), "|")).alias("document_type"),
+        year.alias("publication_year"),
+        F.nullif(F.regexp_extract(told, r"(10\.\d{4,9}/[^\s<\"]+)", 1), F.lit("")).alias("doi"),
+        F.try_element_at(F.filter(links, lambda u: ~F.endswith(F.lower(u), F.lit(".pdf"))), F.lit(1)).alias("url"),
+        F.try_element_at(F.filter(links, lambda u: F.endswith(F.lower(u), F.lit(".pdf"))), F.lit(1)).alias("pdf_url"),
+        F.nullif(F.regexp_extract(told, r"handle/([\w.]+/\w+)", 1), F.lit("")).alias("handle"),
+    )
+    wanted = F.exists(F.array(*[F.lit(k.lower()) for k in kinds]), lambda k: F.contains("document_type", k)) if kinds else F.lit(True)
+    kept = flat.where((F.col("publication_year") >= year_from) & (wanted | (F.col("document_type") == "")))
+    named = kept.withColumn("record_id", F.concat(F.lit(prefix), F.coalesce("handle", F.left(F.sha2(F.coalesce("url", "title"), 256), F.lit(16)))))
+    return named.drop("handle").dropDuplicates(["record_id"])
+
+
 def key_values(df: DataFrame, id_: str, key: str, value: str) -> DataFrame:
     """Key-value rows of items as one map per item, values of one key joined in order."""
     one = df.groupBy(id_, key).agg(F.array_join(F.array_sort(F.collect_set(value)), "|").alias("v"))

@@ -179,6 +179,11 @@ def test_harvest_pages_and_oai(spark, tmp_path):
     <record><header status="deleted"><identifier>oai:2</identifier></header></record></OAI>"""
     pages = spark.createDataFrame([(xml,)], "xml string")
     assert [r["record_id"] for r in harvest.records_of_oai(pages, ["leadership"]).collect()] == ["oai:1"]
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:dc="http://purl.org/dc/elements/1.1/"><entry><title>Rural schools</title>
+    <author><name>Silva, Ana</name></author><published>2022-05-01</published><dc:type>Article</dc:type><link href="https://r.org/handle/11.2/33"/>
+    <link href="https://r.org/x.PDF"/><dc:identifier>doi:10.1234/abc</dc:identifier></entry></feed>"""
+    got = harvest.records_of_atom(spark.createDataFrame([(atom,)], "xml string"), ["article"], "repo:").first()
+    assert (got["record_id"], got["doi"], got["pdf_url"], got["publication_year"]) == ("repo:11.2/33", "10.1234/abc", "https://r.org/x.PDF", 2022)
     kv = spark.createDataFrame([(1, "k", "b"), (1, "k", "a"), (1, "z", "c")], "id int, key string, value string")
     assert harvest.key_values(kv, "id", "key", "value").first()["values"] == {"k": "a|b", "z": "c"}
 
