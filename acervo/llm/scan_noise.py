@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.llm import pages
-from acervo.runtime import cut, known, table
+from acervo.runtime import broadcast_if_small, cut, known, table
 
 #: A word is linked to one that occurs this many times oftener; words with foreign signs to any known one.
 OFTENER = 4
@@ -230,10 +230,10 @@ def corrections(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(frequent, "reading")
         .where(foreign | (F.col("m") >= OFTENER * F.col("n")))
     )
-    links = cut(links)
-    several = Window.partitionBy("word")
-    links = links.withColumn("choices", F.count(F.lit(1)).over(several))
-    single = held.join(links.where("choices = 1"), "word").select("document_id", "word", "reading")
+    links = cut(links.withColumn("choices", F.count(F.lit(1)).over(Window.partitionBy("word"))))
+    # frequent words are in no link: a small list of links meets them without a shuffle
+    linked = broadcast_if_small(links)
+    single = held.join(linked.where("choices = 1"), "word").select("document_id", "word", "reading")
     # several readings: the one whose vector agrees best with the words around this occurrence
     total = words.agg(F.sum("n")).first()[0] or 1
     seen = links.where("choices > 1").select("reading").distinct()
@@ -251,7 +251,7 @@ def corrections(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             ).alias("v"),
         )
     )
-    open_ = held.join(links.where("choices > 1"), "word").select("document_id", "word", "around", "reading", "m", "place")
+    open_ = held.join(linked.where("choices > 1"), "word").select("document_id", "word", "around", "reading", "m", "place")
     agreed = (
         open_.select("document_id", "word", "reading", F.explode("around").alias("context"))
         .join(vectors, ["reading", "context"])
