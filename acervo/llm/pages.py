@@ -106,7 +106,8 @@ def join_lines(lines: list[Line], whole) -> tuple[list[str], list[tuple[str, str
     """Paragraphs of the running text, and the cut words as (left, right, whole).
 
     ``whole(left, right)`` says how the two parts of a cut word are written together.
-    Furniture inside a paragraph, with the blank lines around it, does not end it.
+    Furniture inside a paragraph, with the blank lines around it, does not end it, nor does a
+    blank line before a small letter where no sentence has ended.
     """
     paragraphs: list[str] = []
     cuts: list[tuple[str, str, str]] = []
@@ -119,14 +120,14 @@ def join_lines(lines: list[Line], whole) -> tuple[list[str], list[tuple[str, str
             furniture = True
             continue
         s = line.text
-        if now and now[-1] in CUT_SIGNS and len(now) > 1 and now[-2].isalpha() and s[:1].isalpha() and (not blank or furniture):
+        if now and now[-1] in CUT_SIGNS and len(now) > 1 and now[-2].isalpha() and s[:1].isalpha() and (not blank or furniture or s[0].islower()):
             m = re.search(r"[^\s]*$", now[:-1])
             left = m[0]
             right = re.match(r"[^\s]*", s)[0]
             word = whole(left, right)
             cuts.append((left, right, word))
             now = now[: len(now) - 1 - len(left)] + word + s[len(right) :]
-        elif now and (not blank or furniture and now[-1] not in ".!?"):
+        elif now and (not blank or now[-1] not in ".!?" and (furniture or s[0].islower())):
             now = f"{now} {s}"
         else:
             if now:

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from acervo.llm import pages
 from acervo.runtime import broadcast_if_small, cut, known, table
 
-#: A word is linked to one that occurs this many times oftener; words with foreign signs to any known one.
-OFTENER = 4
+#: A word is linked to one that occurs this many times oftener: one seen at most twice, or more; words with
+#: foreign signs are linked to any known one.
+OFTENER, MUCH_OFTENER = 4, 25
 KNOWN_LEAST = 2
 #: Context words on each side, and the shift of the mutual information.
 REACH = 2
@@ -61,6 +62,8 @@ def readings(word: str) -> list[str]:
     foreign = [k for k, c in enumerate(word) if _FOREIGN.match(c)]
     if len(foreign) > _MOST_EDITS or foreign and (len(word) < 3 or 2 * len(foreign) >= len(word)):
         return []
+    if len(word) < 3:
+        return []
     bases = [word]
     if foreign:
         table_ = dict(GLYPHS)
@@ -75,7 +78,7 @@ def readings(word: str) -> list[str]:
     edge = bases
     seen = set(bases)
     # a word of foreign signs may have one more misread letter, another up to three of one kind
-    for depth in range(1 if foreign else 2):
+    for depth in range(1 if foreign or len(word) < 6 else 2):
         new = []
         for b in edge:
             for seen_as, meant in GLYPHS:
@@ -228,7 +231,7 @@ def corrections(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         asked.repartition("word")
         .mapInArrow(_linked, "word string, n bigint, reading string, place int")
         .join(frequent, "reading")
-        .where(foreign | (F.col("m") >= OFTENER * F.col("n")))
+        .where(foreign | (F.col("m") >= F.when(F.col("n") <= 2, OFTENER).otherwise(MUCH_OFTENER) * F.col("n")))
     )
     links = cut(links.withColumn("choices", F.count(F.lit(1)).over(Window.partitionBy("word"))))
     # frequent words are in no link: a small list of links meets them without a shuffle
