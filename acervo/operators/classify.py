@@ -26,7 +26,7 @@ def hits(df: DataFrame, rule: Rule) -> dict[str, Column]:
     """Terms of a rule found in each of its columns."""
     out = {}
     for name in rule.weights:
-        text = T.norm(F.coalesce(F.col(name), F.lit("")))
+        text = F.col(f"_t_{name}") if f"_t_{name}" in df.columns else T.norm(F.coalesce(F.col(name), F.lit("")))
         if rule.drop:
             text = T.drop_phrases(text, list(rule.drop))
         found = T.phrase_hits(text, list(rule.terms))
@@ -40,9 +40,12 @@ def hits(df: DataFrame, rule: Rule) -> dict[str, Column]:
 def scores(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """``df`` with ``score``, ``reasons`` (rules that hit) and ``evidence`` (terms found), all Catalyst.
 
-    The hits of each rule are materialised as a column once and used three times.
+    The normal form of each column and the hits of each rule are made as a column once.
     """
     names = []
+    texts = sorted({c for r in rules for c in r.weights})
+    for c in texts:
+        df = df.withColumn(f"_t_{c}", T.norm(F.coalesce(F.col(c), F.lit(""))))
     for r in rules:
         for col, found in hits(df, r).items():
             name = f"_h_{r.name}_{col}"
@@ -51,7 +54,7 @@ def scores(df: DataFrame, rules: list[Rule]) -> DataFrame:
     score = sum((F.when(F.size(n) > 0, F.lit(r.weights[c])).otherwise(F.lit(0)) for r, c, n in names), F.lit(0))
     by_rule = [F.when(sum((F.size(n) for q, _, n in names if q is r), F.lit(0)) > 0, F.lit(r.name)) for r in rules]
     evidence = F.array_distinct(F.flatten(F.array(*[F.col(n) for _, _, n in names])))
-    return df.withColumn("score", score).withColumn("reasons", F.array_compact(F.array(*by_rule))).withColumn("evidence", evidence).drop(*[n for _, _, n in names])
+    return df.withColumn("score", score).withColumn("reasons", F.array_compact(F.array(*by_rule))).withColumn("evidence", evidence).drop(*[n for _, _, n in names], *[f"_t_{c}" for c in texts])
 
 
 def cascade(cases: list[tuple[Column, str]], otherwise: str) -> Column:
