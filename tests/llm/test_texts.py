@@ -228,3 +228,20 @@ def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     spans, members = shared_spans.shared_spans(df)
     assert spans.count() == 0 and members.count() == 0
+
+
+def test_coverage_is_that_of_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    seen = {}
+    for d, t in docs:
+        for k in range(len(t or "") - 249):
+            seen.setdefault(t[k : k + 250], set()).add(d)
+    want = {}
+    for d, t in docs:
+        held = [False] * len(t or "")
+        for k in range(len(held) - 249):
+            if len(seen[t[k : k + 250]]) > 1:
+                held[k : k + 250] = [True] * 250
+        if any(held):
+            want[d] = sum(held)
+    assert {r.doc_id: r.shared_chars for r in shared_spans.p10_coverage(spark, sf_dir).collect()} == want and want
