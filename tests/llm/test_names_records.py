@@ -153,3 +153,19 @@ def test_retrieval_is_exact_above_the_threshold(spark):
         want |= {(q, i) for i, us in recs if sum(w[t] for t in ts if t in us and w.get(t, 0) > 0) >= entity_match.TAU * own}
     found = {(r.q, r["class"]) for r in got.collect()}
     assert want and len(found ^ want) <= 0.001 * len(want) + 1
+
+
+def test_terms_that_many_records_hold_still_find_them(spark, records, monkeypatch):
+    monkeypatch.setattr(entity_match, "BLOCK", 100)
+    monkeypatch.setattr(entity_match, "CHUNK", 1)
+    # a third of the rows is one publication, each with a slip of its own; the rest shares nothing with it
+    words = TITLE.replace(":", "").split()
+    slipped = [(k, i, c) for k, w in enumerate(words) if len(w) > 5 for i in range(1, len(w) - 1) for c in "xz"][:80]
+    copies = [" ".join(w[:i] + c + w[i + 1 :] if k == j else w for j, w in enumerate(words)) for k, i, c in slipped]
+    rows = [{"record_id": f"c{k}", "title": t, "authors": PEOPLE, "year": 2020} for k, t in enumerate(copies)]
+    rows += [{"record_id": f"o{k}", "title": f"Zq{k} yw{k} vu{k} tp{k} rs{k}", "authors": f"Mn{k}, B.", "year": 1990} for k in range(160)]
+    c = candidates(spark, {"candidate_id": 1, "title": TITLE, "authors": PEOPLE, "year": 2020}, {"candidate_id": 2, "title": copies[0], "authors": PEOPLE, "year": 2021})
+    got = {(x.candidate_id, x.record_id) for x in entity_match.match_entities(c, records(*rows)).where("same").collect()}
+    texts = {1: TITLE, 2: copies[0]}
+    want = {(q, r["record_id"]) for q, t in texts.items() for r in rows if pub.same_publication(pub.record(t, PEOPLE, 2020), pub.record(r["title"], r["authors"], r["year"]))}
+    assert got == want and len(want) >= 100
