@@ -30,7 +30,7 @@ TOKENIZER_DIR = os.environ.get("ACERVO_TOKENIZERS", "/opt/tokenizers")
 
 #: Fixed value: the published pre-tokenizer pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-LEAF_CHARS = 16_384
+LEAF_CHARS = 256
 UNITS_KEPT = 400_000
 _UNIT = re.compile(r"\s*\S+|\s+")
 #: White space to Python but not to the pre-tokenizer; texts with any go through whole.
