@@ -4,14 +4,22 @@ A record is the set of its feature pairs: any two title words, a title word with
 name. One hash function orders the features of all records alike: a feature's rank is
 ``-ln(u) / weight`` with ``u`` drawn from its hash and a weight that falls with the
 frequencies of its two tokens over all records, so the ``k`` least ranks sample by telling
-power and two records that share features keep the same ones. Inverted lists of retained
-values give the overlaps; the sketch of the union of two records estimates their
-similarity and filters; the exact comparison of words and people verifies.
-
-Equal records are one class before anything is listed. The records of a list longer than
-``HOT`` are listed again by every pair of values they keep, and each meets the ``PIVOTS``
-first members of those lists (in one order of hashes), so a long list costs no more than
-its length; the components join what the pivots link.
+power and two records that share features keep the same ones. A retained value is the rank
+itself (positive floats order like their bits), so sketches are merged by value.
+
+Inverted lists of retained values give the overlaps. For every pair that meets, the ``k``
+least values of the union of both sketches are taken; the share of them that both hold
+estimates the similarity and filters. The exact Jaccard similarity of the titles' words
+(slips excused) and the comparison of people, years and instalments verify.
+
+Records that read alike are one class before anything is listed. Two shared values are
+asked for (one, where a sketch has no more), so a list of more than ``HOT`` classes is
+listed again by pairs of long lists: what shares a long and a short list meets in the short
+one. A pair list of more than ``HOT_PAIRS`` is not paired at once: first all its members meet one
+hub, then, as long as that links any, the hub of what is left; the members of different
+components of the list are then all paired. A pair that is never compared is one that the
+components hold together already, so nothing is lost, and a long list of one publication
+costs its length.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.llm import publication as pub
@@ -29,179 +37,221 @@ from acervo.operators.components import connected_components
 from acervo.runtime import cut, known, table
 
 K = 24
-HOT = 48
-#: Members of a long list that all its members are compared with.
-PIVOTS = 6
+HOT = 64
+#: Longest list of a pair of values that is paired at once.
+HOT_PAIRS = 512
+#: Rounds of hubs before the rest of a long list is paired; they save pairs and change no result.
+HUB_ROUNDS = 2
+#: Members of a long list that one task meets at once.
+SPLIT = 4_096
 #: Least similarity, estimated from the union of two sketches, of a candidate pair.
 LEAST_ESTIMATE = 0.06
+#: Least exact Jaccard similarity of two titles that are linked.
+LEAST_JACCARD = 0.3
 _TOKEN = np.uint64(0x9E3779B97F4A7C15)
+_END = np.iinfo(np.int64).max
+#: Feature ranks that one step holds at once.
+_CELLS = 2_000_000
+
+
+def sketches_of(token_lists: list[list[str]], counts: list[list[int]], k: int = K) -> list[list[int]]:
+    """The ``k`` least feature ranks of every record, as integers that order like them."""
+    out: list[list[int]] = [[] for _ in token_lists]
+    by_size: dict[int, list[int]] = {}
+    held = []
+    for at, (toks, df) in enumerate(zip(token_lists, counts)):
+        # a token of this record alone is in no feature that another record has
+        pairs = [(t, d) for t, d in zip(toks, df) if d > 1]
+        held.append(pairs)
+        if pairs:
+            by_size.setdefault(len(pairs), []).append(at)
+    for size, rows in by_size.items():
+        i, j = np.triu_indices(size, 1)
+        step = max(1, _CELLS // (len(i) + size))
+        for begin in range(0, len(rows), step):
+            part = rows[begin : begin + step]
+            h = np.array([[xxhash.xxh64_intdigest(t) for t, _ in held[r]] for r in part], dtype=np.uint64)
+            n = np.maximum(np.array([[d for _, d in held[r]] for r in part], dtype=np.float64), 4)
+            kind = np.array([["tad".index(t[0]) for t, _ in held[r]] for r in part], dtype=np.int8)
+            with np.errstate(over="ignore", divide="ignore"):
+                lo, hi = np.minimum(h[:, i], h[:, j]), np.maximum(h[:, i], h[:, j])
+                f = lo * _TOKEN ^ (hi + (lo >> np.uint64(29)))
+                f ^= f >> np.uint64(32)
+                f *= np.uint64(0xD6E8FEB86659FD93)
+                f ^= f >> np.uint64(32)
+                f = np.concatenate((f, h), axis=1)
+                weight = np.concatenate((1 / (n[:, i] * n[:, j]), np.full(h.shape, 1 / 16.0)), axis=1)
+                u = ((f * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
+                rank = -np.log(u) / weight
+            a, d = kind == 1, kind == 2
+            rank[:, : len(i)][a[:, i] & a[:, j] | d[:, i] | d[:, j]] = np.inf
+            # a DOI stands alone, and so does the one token of a record
+            single = ~np.isfinite(rank[:, : len(i)]).any(axis=1) & ~d.any(axis=1)
+            alone = d.copy()
+            alone[single, 0] = True
+            rank[:, len(i) :][~alone] = np.inf
+            least = np.sort(np.partition(rank, min(k, rank.shape[1]) - 1, axis=1)[:, :k], axis=1)
+            for r, ranks in zip(part, least):
+                out[r] = np.unique(ranks[np.isfinite(ranks)].view(np.int64)).tolist()
+    return out
 
 
-def tokens(title: str | None, authors: str | None, doi: str | None) -> list[str]:
-    """Tokens of a record: title words, family names, the DOI."""
-    t = pub.title(title)
-    out = [f"t {w}" for w in dict.fromkeys(t.words)] if t else []
-    names = [p.family[0] for p in pub.people(authors) if p.family]
-    out += [f"a {n}" for n in dict.fromkeys(names)]
-    if d := pub.doi_key(doi):
-        out.append(f"d {d}")
-    return out
+def union_estimates(left: list[list[int]], right: list[list[int]], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of sketches: how many of the ``k`` least of their union both hold, and the share of it."""
+    both = np.full((len(left), 2 * k), _END, dtype=np.int64)
+    for row, (x, y) in enumerate(zip(left, right)):
+        both[row, : len(x)] = x
+        both[row, k : k + len(y)] = y
+    both.sort(axis=1)
+    again = both[:, 1:] == both[:, :-1]
+    new = np.concatenate((np.ones((len(both), 1), dtype=bool), ~again), axis=1) & (both != _END)
+    place = np.cumsum(new, axis=1) - 1
+    shared = (again & (both[:, 1:] != _END) & (place[:, 1:] < k)).sum(axis=1)
+    return shared, shared / np.maximum(np.minimum(new.sum(axis=1), k), 1)
+
+
+def likely_pairs(left: list[list[int]], right: list[list[int]], least: float = LEAST_ESTIMATE) -> np.ndarray:
+    """Which pairs of sketches are let through: enough shared values for the estimate, and two where both have two."""
+    shared, estimate = union_estimates(left, right)
+    asked = np.array([min(2, len(x), len(y)) for x, y in zip(left, right)], dtype=np.int64)
+    return (estimate >= least) & (shared >= asked)
 
 
-def _hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token)
-
-
-def sketch(toks: list[str], df: list[int], k: int = K) -> list[tuple[int, float]]:
-    """The ``k`` features of least rank: (feature hash, rank)."""
-    # a token of this record alone is in no feature that another record has
-    held = [(t, d) for t, d in zip(toks, df) if d > 1]
-    if not held:
-        return []
-    toks, df = [t for t, _ in held], [d for _, d in held]
-    h = np.array([_hash(t) for t in toks], dtype=np.uint64)
-    n = np.array(df, dtype=np.float64)
-    kind = np.array([t[0] for t in toks])
-    i, j = np.triu_indices(len(toks), 1)
-    keep = ~((kind[i] == "a") & (kind[j] == "a")) & (kind[i] != "d") & (kind[j] != "d")
-    i, j = i[keep], j[keep]
-    with np.errstate(over="ignore"):
-        lo, hi = np.minimum(h[i], h[j]), np.maximum(h[i], h[j])
-        f = lo * _TOKEN ^ (hi + (lo >> np.uint64(29)))
-        f ^= f >> np.uint64(32)
-        f *= np.uint64(0xD6E8FEB86659FD93)
-        f ^= f >> np.uint64(32)
-    weight = 1.0 / np.maximum(n[i], 4) / np.maximum(n[j], 4)
-    alone = np.flatnonzero(kind == "d")
-    f = np.concatenate((f, h[alone]))
-    weight = np.concatenate((weight, np.full(len(alone), 1 / 16.0)))
-    if not len(f):
-        f, weight = h[:1], np.array([1 / 16.0])
-    u = ((f * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
-    rank = -np.log(u) / weight
-    at = np.argsort(rank, kind="stable")[:k]
-    return list(zip(f[at].view(np.int64).tolist(), rank[at].tolist()))
-
-
-def union_estimate(overlap: Column, left: Column, right: Column) -> Column:
-    """Similarity estimated from the union of two sketches: the share of it that both hold."""
-    return overlap / (left + right - overlap)
-
-
-def _token_lists(df: DataFrame, fields: tuple[str, str, str]) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def run(t, a, d):
-        import pandas as pd
-
-        return pd.Series([tokens(x, y, z) for x, y, z in zip(t, a, d)], dtype=object)
-
-    return df.select("class", F.explode(run(*fields)).alias("token"))
-
-
-def sketches(df: DataFrame, fields: tuple[str, str, str], k: int = K) -> DataFrame:
-    """``class, values`` of every row of ``df`` that has a token; ``class`` is its key."""
-    listed = cut(_token_lists(df, fields))
-    counts = listed.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def sketches(classes: DataFrame, k: int = K) -> DataFrame:
+    """``class, values`` of every class that has a token others have; ``classes`` has ``class, tokens``."""
+    listed = classes.select("class", F.explode("tokens").alias("token"))
+    counts = listed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     weighed = (
         listed.join(counts, "token")
         .groupBy("class")
         .agg(F.sort_array(F.collect_list(F.struct("token", "df"))).alias("toks"))
+        .select("class", "toks.token", "toks.df")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [
-                [f for f, _ in sketch([t["token"] for t in toks], [t["df"] for t in toks], k)]
-                for toks in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["class", "values"]
-            )
+            values = sketches_of(batch.column(1).to_pylist(), batch.column(2).to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["class", "values"])
 
     return weighed.mapInArrow(run, "class bigint, values array<bigint>")
 
 
-def candidates(drawn: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
-    """``a, b``: pairs of classes that meet in inverted lists and whose union sketch lets them through."""
-    flat = drawn.select("class", F.size("values").alias("size"), F.explode("values").alias("value"))
-    counts = flat.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = cut(flat.join(counts, "value"))
-    short = sized.where(F.col("n") <= HOT).select("value", "class", "size")
-    met = (
-        short.select("value", F.col("class").alias("a"), F.col("size").alias("na"))
-        .join(short.select("value", F.col("class").alias("b"), F.col("size").alias("nb")), "value")
-        .where("a < b")
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.count(F.lit(1)).alias("overlap"))
-    )
-    long = sized.where(F.col("n") > HOT).select("value", "class")
-    if long.isEmpty():
-        return met.where(union_estimate(F.col("overlap"), F.col("na"), F.col("nb")) >= least).select("a", "b")
-    # records that share two values of long lists meet the pivots of the pair's list
-    finer = cut(
-        long.join(drawn.select("class", F.explode("values").alias("other")), "class")
-        .where("value <> other")
-        .select(F.xxhash64(F.least("value", "other"), F.greatest("value", "other")).alias("value"), "class")
-        .distinct()
-    )
-    order = Window.partitionBy("value").orderBy(F.xxhash64("class"), "class")
-    pivots = (
-        finer.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= PIVOTS)
-        .select("value", F.col("class").alias("a"))
-    )
-    starred = (
-        finer.select("value", F.col("class").alias("b"))
-        .join(pivots, "value")
-        .where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    # values of long lists are not counted in the lists above: two of them are known to be shared
-    size = drawn.select("class", F.size("values").alias("size"))
-    told = (
-        met.select("a", "b", "overlap")
-        .unionByName(starred.withColumn("overlap", F.lit(2).cast("bigint")))
-        .groupBy("a", "b")
-        .agg(F.sum("overlap").alias("overlap"))
-        .join(size.select(F.col("class").alias("a"), F.col("size").alias("na")), "a")
-        .join(size.select(F.col("class").alias("b"), F.col("size").alias("nb")), "b")
-    )
-    likely = union_estimate(F.col("overlap"), F.col("na"), F.col("nb")) >= least
-    return told.where(likely).select("a", "b").unionByName(starred).distinct()
+def short_pairs(sized: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
+    """``a, b``: pairs of classes that meet in lists of up to ``HOT`` and can reach the least estimate.
+
+    ``sized`` has ``class, size, hot, value, n``: the list's length ``n`` and how many of the
+    class's ``size`` values are in longer lists. Those count as shared here, so that no pair
+    is dropped which the union of the sketches would let through.
+    """
+    short = sized.where(F.col("n") <= HOT)
+    one = short.select("value", F.col("class").alias("a"), F.col("size").alias("na"), F.col("hot").alias("ha"))
+    two = short.select("value", F.col("class").alias("b"), F.col("size").alias("nb"), F.col("hot").alias("hb"))
+    may = F.col("overlap") + F.least("ha", "hb") >= F.lit(least) * F.greatest("na", "nb")
+    met = one.join(two, "value").where("a < b").groupBy("a", "b", "na", "nb", "ha", "hb")
+    return met.agg(F.count(F.lit(1)).alias("overlap")).where(may).select("a", "b")
 
 
-def verify_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, same: Callable) -> DataFrame:
-    """``a, b, similarity`` of the pairs that ``same`` confirms.
+def verify_pairs(pairs: DataFrame, classes: DataFrame, drawn: DataFrame, same: Callable, least: float = LEAST_ESTIMATE) -> DataFrame:
+    """``a, b, similarity`` of the pairs that the union sketch lets through and exact comparison confirms.
 
-    ``left`` and ``right`` have ``class, title, authors, year, doi``.
+    ``classes`` has ``class, work``; ``drawn`` has ``class, values``.
     """
-    fields = ("title", "authors", "year", "doi")
-    one = left.select(F.col("class").alias("a"), F.struct(*fields).alias("x"))
-    two = right.select(F.col("class").alias("b"), F.struct(*fields).alias("y"))
+    told = classes.select("class", "work").join(drawn, "class")
+    one = told.select(F.col("class").alias("a"), F.col("work").alias("x"), F.col("values").alias("vx"))
+    two = told.select(F.col("class").alias("b"), F.col("work").alias("y"), F.col("values").alias("vy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            likely = likely_pairs(batch.column(4).to_pylist(), batch.column(5).to_pylist(), least)
+            batch = batch.filter(pa.array(likely, pa.bool_()))
             out: list[tuple[int, int, float]] = []
             for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in range(4))):
-                p = pub.record(x["title"], x["authors"], x["year"], x["doi"])
-                q = pub.record(y["title"], y["authors"], y["year"], y["doi"])
+                p, q = pub.unpack(x), pub.unpack(y)
                 if same(p, q):
-                    out.append((a, b, pub.jaccard(p.title, q.title) if p.title and q.title else 0.0))
+                    jaccard = pub.jaccard(p.title, q.title) if p.title and q.title else 1.0
+                    if jaccard >= LEAST_JACCARD:
+                        out.append((a, b, jaccard))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[n] for r in out], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
                 names=["a", "b", "similarity"],
             )
 
-    return (
-        pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "vx", "vy")
+    return met.mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
+def pair_lists(sized: DataFrame) -> DataFrame:
+    """``value, class``: classes listed by every pair of long lists that hold them."""
+    held = sized.where(F.col("n") > HOT).groupBy("class").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    pairs = F.flatten(
+        F.transform(
+            F.col("values"),
+            lambda v, i: F.transform(F.slice("values", i + 2, F.size("values")), lambda w: F.struct(v.alias("v"), w.alias("w"))),
+        )
+    )
+    return held.select(F.explode(pairs).alias("value"), "class")
+
+
+def bare_pairs(sized: DataFrame) -> DataFrame:
+    """``a, b``: classes whose sketch is one value of a long list, with all classes of the list."""
+    long = sized.where(F.col("n") > HOT)
+    bare = long.where(F.col("size") == 1).select("value", F.col("class").alias("c"))
+    met = bare.join(long.select("value", "class"), "value").where("c <> class")
+    return met.select(F.least("c", "class").alias("a"), F.greatest("c", "class").alias("b"))
+
+
+def _of_components(long: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of long lists with their components, without the lists that lie in one component."""
+    parts = connected_components(links).select(F.col("node").alias("class"), "component")
+    told = long.join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    open_ = told.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+    return cut(told.join(open_.where("lo < hi").select("value", "m"), "value"))
+
+
+def _largest(told: DataFrame) -> DataFrame:
+    """The largest component of every list and its least member: ``value, big, hub``."""
+    sizes = told.groupBy("value", "component").agg(F.count(F.lit(1)).alias("held"), F.min("class").alias("hub"))
+    return sizes.groupBy("value").agg(F.max(F.struct("held", F.col("component").alias("big"), "hub")).alias("top")).select(
+        "value", "top.big", "top.hub"
     )
 
 
+def hot_links(long: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``links`` and all links that members of long lists (``value, class``) add to their components."""
+    found = links
+    for _ in range(HUB_ROUNDS):
+        told = _of_components(long, found)
+        if told.isEmpty():
+            return found
+        asked = told.join(_largest(told), "value").where("component <> big")
+        more = cut(confirm(asked.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()))
+        if more.isEmpty():
+            break
+        found = cut(found.unionByName(more))
+    told = _of_components(long, found)
+    if told.isEmpty():
+        return found
+    # whoever is outside the largest component meets all of the list, in slices of the list
+    slices = F.greatest(F.lit(1), F.ceil(F.col("m") / SPLIT)).cast("int")
+    outside = told.join(_largest(told), "value").where("component <> big").select(
+        "value", F.col("class").alias("c"), F.col("component").alias("p"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice")
+    )
+    whole = told.select("value", "class", "component", F.pmod(F.xxhash64("class"), slices).cast("int").alias("slice"))
+    rest = (
+        outside.join(whole, ["value", "slice"])
+        .where("p <> component")
+        .select(F.least("c", "class").alias("a"), F.greatest("c", "class").alias("b"))
+        .distinct()
+    )
+    return found.unionByName(confirm(rest))
+
+
 def record_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal records (``class, title, authors, year, doi``) and their members (``class, record_id``).
+    """Classes of records that read alike (``class, work, tokens``) and their members (``class, record_id``).
 
     Of the rows that repeat a record_id, the one ingested last stands (ties: the greatest).
+    Each record is parsed once; ``work`` is what it is compared by. Classes are numbered, so
+    that no two works share a number, and written before the numbers are used.
     """
     latest = (
         records.where("record_id is not null")
@@ -219,9 +269,53 @@ def record_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         .select("record_id", "r.title", "r.authors", "r.year", "r.doi")
     )
-    keyed = latest.withColumn("class", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("title", "authors", "year", "doi"))))
-    keyed = cut(keyed)
-    return keyed.drop("record_id").dropDuplicates(["class"]), keyed.select("class", "record_id")
+    parsed = cut(with_works(latest).select("record_id", "work", "tokens"))
+    classes = parsed.groupBy("work").agg(F.first("tokens").alias("tokens"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
+    members = cut(parsed.select("record_id", "work").join(classes.select("work", "class"), "work").select("class", "record_id"))
+    return classes, members
+
+
+def with_works(df: DataFrame) -> DataFrame:
+    """``df`` with what its ``title, authors, year, doi`` are compared by (``work``) and their ``tokens``."""
+    kept = [f for f in df.schema.fields if f.name not in ("title", "authors", "year", "doi")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = (batch.column(c).to_pylist() for c in ("title", "authors", "year", "doi"))
+            read = [pub.record(*row) for row in zip(*fields)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in kept), pa.array(map(pub.pack, read), pa.string()), pa.array(map(pub.tokens, read), pa.list_(pa.string()))],
+                names=[*(f.name for f in kept), "work", "tokens"],
+            )
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return df.mapInArrow(run, f"{kinds}, work string, tokens array<string>")
+
+
+def class_groups(classes: DataFrame) -> DataFrame:
+    """``class, group`` of every class that some other class is a near-duplicate of."""
+    drawn = cut(sketches(classes))
+    flat = drawn.select("class", F.size("values").alias("size"), F.explode("values").alias("value"))
+    counts = flat.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = cut(flat.join(counts, "value"))
+    long = sized.where(F.col("n") > HOT).select("value", "class")
+    confirm = lambda pairs: verify_pairs(cut(pairs), classes, drawn, pub.same_publication)
+    if long.isEmpty():
+        links = cut(confirm(short_pairs(sized.withColumn("hot", F.lit(0)))))
+    else:
+        hot = long.groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("hot"))
+        finer = pair_lists(sized)
+        n = finer.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        finer = cut(finer.join(n, "value"))
+        again = finer.where(F.col("n") <= HOT_PAIRS)
+        met = again.select("value", F.col("class").alias("a")).join(again.select("value", F.col("class").alias("b")), "value").where("a < b")
+        pairs = short_pairs(sized.join(hot, "class", "left").fillna(0, ["hot"])).unionByName(met.select("a", "b")).unionByName(bare_pairs(sized))
+        links = cut(confirm(pairs.distinct()))
+        longest = finer.where(F.col("n") > HOT_PAIRS).select("value", "class")
+        if not longest.isEmpty():
+            links = cut(hot_links(longest, links, confirm))
+    return connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("group"))
 
 
 def near_records(records: DataFrame) -> DataFrame:
@@ -229,20 +323,17 @@ def near_records(records: DataFrame) -> DataFrame:
 
     Rows without record_id are left out; records with neither title nor DOI resemble
     nothing but their exact copies' class mates; empty titles count as missing; titles of
-    any length are compared whole; ties of ranks keep the order of hashes; repeated rows
+    any length are compared whole; ties of ranks are one value; repeated rows
     count once; an empty table gives an empty result; unknown columns are ignored.
     """
     classes, members = record_classes(records)
-    drawn = cut(sketches(classes, ("title", "authors", "doi")))
-    links = cut(verify_pairs(cut(candidates(drawn)), classes, classes, pub.same_publication))
-    parts = connected_components(links)
-    told = F.col("title").isNotNull() | F.col("doi").isNotNull()
-    telling = classes.where(told).select("class")
+    telling = classes.where(~(F.col("work").startswith("[null,") & F.col("work").endswith(",null]"))).select("class")
     grouped = (
         members.join(telling, "class", "left_semi")
-        .join(parts, members["class"] == parts["node"], "left")
-        .select("record_id", F.coalesce("component", "class").alias("group"))
+        .join(class_groups(classes), "class", "left")
+        .select("record_id", F.coalesce("group", "class").alias("group"))
     )
+    grouped = cut(grouped)
     shared = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return grouped.join(shared.select("group"), "group", "left_semi").select("record_id", "group")
 

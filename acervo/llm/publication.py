@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 from typing import NamedTuple
@@ -294,3 +295,28 @@ def same_publication(a: Record, b: Record) -> bool:
             return False
         return one_doi or min(len(a.title.words), len(b.title.words)) >= TELLING_WORDS
     return shared >= 0.5
+
+
+def pack(r: Record) -> str:
+    """One text that holds all a record is compared by; records of equal text are compared alike."""
+    t = r.title
+    told = None if t is None else [t.pieces, t.qualifiers, t.part]
+    return json.dumps([told, sorted(r.people), r.year, r.doi], ensure_ascii=False, separators=(",", ":"))
+
+
+@lru_cache(maxsize=10_000)
+def unpack(text: str) -> Record:
+    told, persons, year, doi_ = json.loads(text)
+    if told is not None:
+        pieces = tuple(map(tuple, told[0]))
+        told = Title(tuple(w for p in pieces for w in p), pieces, tuple(told[1]), told[2])
+    return Record(told, tuple(Person(tuple(f), g, o) for f, g, o in persons), year, doi_)
+
+
+def tokens(r: Record) -> list[str]:
+    """Distinct tokens of a record: title words, family names, the DOI."""
+    out = [f"t {w}" for w in dict.fromkeys(r.title.words)] if r.title else []
+    out += [f"a {n}" for n in dict.fromkeys(p.family[0] for p in r.people if p.family)]
+    if r.doi:
+        out.append(f"d {r.doi}")
+    return out

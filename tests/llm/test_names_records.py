@@ -83,8 +83,9 @@ def test_exact_copies_meet_without_sketches(records):
     assert [len(g) for g in groups(near_records.near_records(df))] == [60]
 
 
-def test_long_lists_meet_pivots(records, monkeypatch):
+def test_long_lists_meet_hubs(records, monkeypatch):
     monkeypatch.setattr(near_records, "HOT", 4)
+    monkeypatch.setattr(near_records, "HOT_PAIRS", 4)
     swaps = list(itertools.permutations(TITLE.split(":")[0].split()[:4]))[:20]
     rest = " ".join(TITLE.split()[4:])
     df = records(*[{"record_id": f"{i:02}", "title": " ".join(s) + " " + rest, "authors": PEOPLE, "year": 2020} for i, s in enumerate(swaps)])
@@ -94,7 +95,7 @@ def test_long_lists_meet_pivots(records, monkeypatch):
 def test_all_pairs_that_brute_force_confirms_are_found(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/master_records.parquet")
     classes, members = near_records.record_classes(rows)
-    of = {r["class"]: pub.record(r.title, r.authors, r.year, r.doi) for r in classes.collect()}
+    of = {r["class"]: pub.unpack(r.work) for r in classes.collect()}
     by = {}
     for r in members.collect():
         by.setdefault(r["class"], []).append(r.record_id)
@@ -128,31 +129,54 @@ def test_candidates_find_their_records(spark, records):
         {"candidate_id": 2, "title": "Nothing like any of them", "authors": "Person, New", "year": 1999},
         {"candidate_id": 3}, {"candidate_id": None, "title": TITLE},
     )
-    got = entity_match.match_entities(c, r).where("same")
+    got = entity_match.match_entities(c, r).where("agrees")
     assert sorted((x.candidate_id, x.record_id) for x in got.collect()) == [(1, "1"), (1, "2")]
     assert all(0 <= x.confidence <= 1 for x in got.collect())
     assert entity_match.match_entities(c.limit(0), r).count() == 0
     assert entity_match.match_entities(c, r.limit(0)).count() == 0
 
 
-def test_retrieval_is_exact_above_the_threshold(spark):
-    recs = [(i, sorted({f"t{(i * k) % 101}" for k in range(1, 12)} | {"all"})) for i in range(200)]
-    asks = [(q, sorted({f"t{(q * k + 3) % 101}" for k in range(1, 12)} | {"all"})) for q in range(30)]
-    got = entity_match.bm25_pairs(spark.createDataFrame(asks, "q bigint, terms array<string>"), spark.createDataFrame(recs, "class bigint, terms array<string>"))
+def test_confidence_and_the_mutual_test_make_the_rows(spark, records, monkeypatch):
+    r = records({"record_id": "1", "title": TITLE, "authors": PEOPLE, "year": 2020}, *[{"record_id": f"o{k}", "title": f"Other works number {k} on Puerto {k}", "authors": f"Person{k}, X."} for k in range(20)])
+    c = candidates(spark, {"candidate_id": 1, "title": TITLE, "authors": PEOPLE, "year": 2020})
+    assert entity_match.match_entities(c, r).where("agrees").count() == 1
+    monkeypatch.setattr(entity_match, "calibrate", lambda sample: [-50.0, 0.0, 0.0])
+    assert entity_match.match_entities(c, r).where("agrees").count() == 0
+    monkeypatch.undo()
+    monkeypatch.setattr(entity_match, "MARGIN", 1.1)
+    assert entity_match.match_entities(c, r).where("agrees").count() == 0
+
+
+def test_calibration_tells_far_from_near():
+    w = entity_match.calibrate([(0.9, 0.5, True)] * 20 + [(0.5, 0.02, False)] * 20 + [(0.6, 0.3, True), (0.8, 0.0, False)])
+    z = lambda share, gap: w[0] + w[1] * share + w[2] * gap
+    assert z(0.9, 0.5) > 0 > z(0.5, 0.02) and w[2] > 0
+
+
+def test_retrieval_is_exact_from_the_threshold_on(spark, monkeypatch):
     import math
     from collections import Counter
 
-    df = Counter(t for _, ts in recs for t in set(ts))
-    n = len(recs)
-    floor = math.log(n / (entity_match.HELD * n ** (1 / 3)))
-    w = {t: math.log((n + 1) / (d + 0.5)) - floor for t, d in df.items()}
-    assert min(w.values()) < 0 < max(w.values())
-    want = set()
+    monkeypatch.setattr(entity_match, "BLOCK", 70)
+    monkeypatch.setattr(entity_match, "CHUNK", 9)
+    recs = [(i, {f"t{(i * k) % 101}": (k % 3 + 1) / 3 for k in range(1, 12)} | {"all": 1.0}) for i in range(200)]
+    asks = [(q, sorted({f"t{(q * k + 3) % 101}" for k in range(1, 12)} | {"all", f"own{q}"})) for q in range(30)]
+    docs = spark.createDataFrame([(i, -1, list(t.items()), float(sum(t.values()))) for i, t in recs], "doc bigint, owner bigint, terms array<struct<term:string,tf:double>>, len double")
+    docs = docs.selectExpr("doc", "owner", "transform(terms, t -> struct(xxhash64(t.term) as term, t.tf as tf)) as terms", "len")
+    got = entity_match.retrieve(spark.createDataFrame([(q, t, None) for q, t in asks], "q bigint, terms array<string>, skip bigint"), docs)
+    df = Counter(t for _, ts in recs for t in ts)
+    n, avg = len(recs), sum(sum(t.values()) for _, t in recs) / len(recs)
+    k1, b = entity_match.K1, entity_match.B
+    idf = lambda t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+    part = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
+    want = {}
     for q, ts in asks:
-        own = sum(w[t] for t in ts if w.get(t, 0) > 0)
-        want |= {(q, i) for i, us in recs if sum(w[t] for t in ts if t in us and w.get(t, 0) > 0) >= entity_match.TAU * own}
-    found = {(r.q, r["class"]) for r in got.collect()}
-    assert want and len(found ^ want) <= 0.001 * len(want) + 1
+        own = sum(map(idf, ts)) * part(1, len(ts))
+        scored = sorted(((-sum(idf(t) * part(d[t], sum(d.values())) for t in ts if t in d), i) for i, d in recs))
+        want |= {(q, i): -s for s, i in scored[: entity_match.TOP] if -s >= entity_match.TAU * own}
+    found = {(r.q, r.doc): r.score for r in got.collect()}
+    assert len(want) > 20 and found.keys() == want.keys()
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_terms_that_many_records_hold_still_find_them(spark, records, monkeypatch):
@@ -165,7 +189,21 @@ def test_terms_that_many_records_hold_still_find_them(spark, records, monkeypatc
     rows = [{"record_id": f"c{k}", "title": t, "authors": PEOPLE, "year": 2020} for k, t in enumerate(copies)]
     rows += [{"record_id": f"o{k}", "title": f"Zq{k} yw{k} vu{k} tp{k} rs{k}", "authors": f"Mn{k}, B.", "year": 1990} for k in range(160)]
     c = candidates(spark, {"candidate_id": 1, "title": TITLE, "authors": PEOPLE, "year": 2020}, {"candidate_id": 2, "title": copies[0], "authors": PEOPLE, "year": 2021})
-    got = {(x.candidate_id, x.record_id) for x in entity_match.match_entities(c, records(*rows)).where("same").collect()}
-    texts = {1: TITLE, 2: copies[0]}
-    want = {(q, r["record_id"]) for q, t in texts.items() for r in rows if pub.same_publication(pub.record(t, PEOPLE, 2020), pub.record(r["title"], r["authors"], r["year"]))}
-    assert got == want and len(want) >= 100
+    got = {(x.candidate_id, x.record_id) for x in entity_match.match_entities(c, records(*rows)).where("agrees").collect()}
+    assert got == {(q, f"c{k}") for q in (1, 2) for k in range(len(copies))}
+
+
+def test_the_union_sketch_is_the_least_of_both():
+    a, b = [1, 3, 5, 7], [1, 4, 5, 9]
+    shared, estimate = near_records.union_estimates([a, a, []], [b, a, a], 4)
+    # the four least of the union are 1, 3, 4, 5, of which both hold 1 and 5
+    assert shared.tolist() == [2, 4, 0] and estimate.tolist() == [0.5, 1.0, 0.0]
+
+
+def test_long_and_short_lists_give_the_same_groups(spark, sf_dir, monkeypatch):
+    rows = spark.read.parquet(f"{sf_dir}/master_records.parquet")
+    want = groups(near_records.near_records(rows))
+    for hot, pairs in ((2, 2), (2, 100_000)):
+        monkeypatch.setattr(near_records, "HOT", hot)
+        monkeypatch.setattr(near_records, "HOT_PAIRS", pairs)
+        assert groups(near_records.near_records(rows)) == want
