@@ -8,19 +8,19 @@ import unicodedata
 #: Given names common in the five languages of the collections.
 GIVEN_NAMES = frozenset(
     """
-    adrian alejandro alice alicia ana andre andrea andres anna anne anthony antoine antonio
-    arthur beatriz benito bernard bruno camila carla carlos carmen catherine cecilia charles
-    claire clara claudia cristina daniel david diana diego dolores eduardo elena elisa
+    adrian alberto alejandro alice alicia ana andre andrea andres andrew anna anne anthony antoine antonio
+    arthur beatriz benito benjamin bernard bruno camila carla carlos carmen catherine cecilia charles
+    christopher claire clara claudia cristina daniel david deborah diana diego dolores eduardo edward elena elisa
     elizabeth emilia emilio emma enrique ernesto esteban eva felipe fernanda fernando francis
     francisco francois gabriel gabriela george gloria gonzalo graciela guadalupe guillermo
-    gustavo hector helena henri henry hugo ignacio ines irene isabel ivan jaime james javier
-    jean jesus joan joao joaquin john jorge jose josefa juan julia julian julie julio karim
+    gustavo hector helena henri henry hugo ignacio ines irene isabel ivan jaime james javier jennifer
+    jean jesus joan joao joaquin john jorge jose josefa joseph juan julia julian julie julio karim
     karina laura leonardo leticia lia lidia louis lourdes lucas lucia luis luisa luiz manuel
     marc marcela marcelo marcos margaret margarita maria marie mario marta martha martin mary
-    mateo matias mercedes michael miguel monica natalia nicolas noemi olga oscar pablo patricia
-    paul paula paulo pedro peter philippe pierre pilar putri rafael ramon raul rebeca ricardo
+    mateo matias matthew mercedes michael miguel monica natalia nicholas nicolas noemi olga oscar pablo patricia
+    paul paula paulo pedro peter philippe pierre pilar putri rafael ramon raul rebeca rebecca ricardo
     richard robert roberto rocio rosa rosario ruth samuel sandra santiago sara sergio silvia
-    siti sofia sonia susana teresa thomas tomas ursula valentina vanessa veronica vicente
+    siti sofia sonia stephen susan susana teresa thomas timothy tomas ursula valentina vanessa veronica vicente
     victor victoria virginia wanda william xavier ximena yolanda zoe
     """.split()
 )
@@ -44,6 +44,14 @@ NICKNAMES = {
     "marg": ("margaret",), "maggie": ("margaret",), "meg": ("margaret",), "peggy": ("margaret",), "mar": ("maria",),
     "ma": ("maria",), "quique": ("enrique",), "kike": ("enrique",), "tom": ("tomas",), "tomy": ("tomas",), "tommy": ("tomas",), "thomas": ("tomas",),
     "vero": ("veronica",), "xavi": ("xavier",), "javi": ("xavier", "javier"), "yoli": ("yolanda",), "yola": ("yolanda",),
+    "steve": ("stephen",), "steven": ("stephen",), "andy": ("andrew",), "dan": ("daniel",), "danny": ("daniel",), "mike": ("michael",),
+    "jim": ("james",), "jimmy": ("james",), "jack": ("john",), "johnny": ("john",), "joe": ("joseph",), "sam": ("samuel",),
+    "ben": ("benjamin",), "nick": ("nicholas",), "chris": ("christopher",), "matt": ("matthew",), "greg": ("gregory",),
+    "ed": ("edward",), "eddie": ("edward",), "ted": ("edward",), "dave": ("david",), "rick": ("richard",), "dick": ("richard",),
+    "chuck": ("charles",), "charlie": ("charles",), "sue": ("susan",), "suzy": ("susan",), "jenny": ("jennifer",), "jen": ("jennifer",),
+    "becky": ("rebecca",), "debbie": ("deborah",), "pam": ("pamela",), "tim": ("timothy",), "jeff": ("jeffrey",), "ken": ("kenneth",),
+    "ron": ("ronald",), "don": ("donald",), "larry": ("lawrence",), "fred": ("frederick",), "gus": ("gustavo",), "rafa": ("rafael",),
+    "santi": ("santiago",), "edu": ("eduardo",), "guille": ("guillermo",), "memo": ("guillermo",), "beto": ("alberto",),
 }
 
 #: Particles of surnames.
