@@ -96,12 +96,11 @@ def sketches_of(token_lists: list[list[str]], counts: list[list[int]], k: int =
     return out
 
 
-def union_estimates(left: list[list[int]], right: list[list[int]], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def union_estimates(left: pa.ListArray, right: pa.ListArray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Of each pair of sketches: how many of the ``k`` least of their union both hold, and the share of it."""
     both = np.full((len(left), 2 * k), _END, dtype=np.int64)
-    for row, (x, y) in enumerate(zip(left, right)):
-        both[row, : len(x)] = x
-        both[row, k : k + len(y)] = y
+    for half, lists in ((both[:, :k], left), (both[:, k:], right)):
+        half[np.arange(k) < lists.value_lengths().to_numpy(zero_copy_only=False)[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
     both.sort(axis=1)
     again = both[:, 1:] == both[:, :-1]
     new = np.concatenate((np.ones((len(both), 1), dtype=bool), ~again), axis=1) & (both != _END)
@@ -110,11 +109,11 @@ def union_estimates(left: list[list[int]], right: list[list[int]], k: int = K) -
     return shared, shared / np.maximum(np.minimum(new.sum(axis=1), k), 1)
 
 
-def likely_pairs(left: list[list[int]], right: list[list[int]], least: float = LEAST_ESTIMATE) -> np.ndarray:
+def likely_pairs(left: pa.ListArray, right: pa.ListArray, least: float = LEAST_ESTIMATE) -> np.ndarray:
     """Which pairs of sketches are let through: enough shared values for the estimate, and two where both have two."""
     shared, estimate = union_estimates(left, right)
-    asked = np.array([min(2, len(x), len(y)) for x, y in zip(left, right)], dtype=np.int64)
-    return (estimate >= least) & (shared >= asked)
+    sizes = np.minimum(left.value_lengths().to_numpy(zero_copy_only=False), right.value_lengths().to_numpy(zero_copy_only=False))
+    return (estimate >= least) & (shared >= np.minimum(2, sizes))
 
 
 def sketches(classes: DataFrame, k: int = K) -> DataFrame:
@@ -162,7 +161,7 @@ def verify_pairs(pairs: DataFrame, classes: DataFrame, drawn: DataFrame, same: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            likely = likely_pairs(batch.column(4).to_pylist(), batch.column(5).to_pylist(), least)
+            likely = likely_pairs(batch.column(4), batch.column(5), least)
             batch = batch.filter(pa.array(likely, pa.bool_()))
             out: list[tuple[int, int, float]] = []
             for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in range(4))):
