@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.llm import recompression as R
-from acervo.runtime import broadcast_if_small, cut, table
+from acervo.runtime import cut, table
 
 LEAST = 250
 WINDOW = 72
@@ -164,15 +164,24 @@ def _stretches(least: int, window: int):
 
 
 def _shared_names(places: DataFrame) -> DataFrame:
-    """Places whose name occurs in more than one class, with the number of places of the name."""
-    of_name = Window.partitionBy("name")
-    return (
-        places.withColumn("low", F.min("class").over(of_name))
-        .withColumn("high", F.max("class").over(of_name))
-        .withColumn("n", F.count(F.lit(1)).over(of_name))
-        .where("low < high")
-        .select("name", "class", "start", "n")
-    )
+    """Places whose name occurs in more than one class, with the number of places of the name.
+
+    Names are counted by aggregation and met again, so no task gathers the places of one name.
+    """
+    counts = places.groupBy("name").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
+    return places.join(counts.where("low < high").select("name", "n"), "name").select("name", "class", "start", "n")
+
+
+def with_classes(rows: DataFrame) -> DataFrame:
+    """``rows`` (``key, text``) with ``class``, the same number for equal texts and no others.
+
+    Texts are numbered by a 64-bit hash; the few that another text shares one with, told by
+    a second fingerprint and the length, are numbered by a longer one.
+    """
+    first = rows.withColumn("class", F.xxhash64("text"))
+    told = first.groupBy("class").agg(*(f(F.struct(F.length("text").alias("n"), F.md5("text").alias("m"))).alias(a) for f, a in ((F.min, "lo"), (F.max, "hi"))))
+    bad = [r[0] for r in told.where("lo <> hi").select("class").collect()]
+    return first.withColumn("class", F.when(F.col("class").isin(bad), F.xxhash64(F.md5("text"), "text")).otherwise(F.col("class"))) if bad else first
 
 
 def shared_spans(
@@ -188,7 +197,7 @@ def shared_spans(
     """
     spread = _spread(least, window)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= least)
-    rows = rows.withColumn("class", F.xxhash64("text"))
+    rows = with_classes(rows)
     members = cut(rows.select("class", F.col("key").alias(key), F.length("text").alias("n")))
     named = rows.select("class", "text").mapInArrow(
         _name_places(window, spread, least), "name bigint, class bigint, start int"
@@ -214,7 +223,6 @@ def shared_spans(
     )
     meet = cut(meet)
     asked = meet.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    asked = broadcast_if_small(asked)
     texts = cut(rows.select("class", "text").join(asked, "class", "left_semi").dropDuplicates(["class"]))
     spans = (
         meet.join(texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), "class_a")

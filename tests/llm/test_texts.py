@@ -50,6 +50,38 @@ def test_survivors_take_the_latest_doi_and_the_fullest_real_abstract(corpus):
     assert survivors.survivors(df.limit(0)).count() == 0
 
 
+def _planted(corpus):
+    """Groups in which B and C copy A: a notice at times, and one wrong abstract against two sources that have the right one."""
+    notice = "This item was deposited by its authors and the archive keeps a copy of it for readers."
+    rows = []
+
+    def add(g, by_source):
+        rows.extend({"document_id": f"{g}{s}", "duplicate_group_id": g, "abstract": t, "source_database": s} for s, t in by_source.items())
+
+    for k in range(40):
+        add(f"t{k}", dict.fromkeys("ABCDE", f"Study {k} of the senior team of school {k} and its {k} programmes in the region of Garadama."))
+    for k in range(10):
+        add(f"n{k}", dict.fromkeys("ABC", notice) | dict.fromkeys("DE", f"Visits {k} to the {k} schools of the province and what their {k} inspectors recorded there."))
+    add("x", dict.fromkeys("ABC", "Quite another abstract about markets of wool and salt in the ports of the far north.") | dict.fromkeys("DE", LONG))
+    return corpus(*rows)
+
+
+def test_copied_votes_are_discounted(corpus, monkeypatch):
+    df = _planted(corpus)
+    got = {r[0]: r[2] for r in survivors.survivors(df).collect()}
+    assert got["x"] in ("xD", "xE") and all(got[f"n{k}"][-1] in "DE" for k in range(10))
+    # without copy detection the majority wins
+    monkeypatch.setattr(survivors, "COPY_SHARE", 0.0)
+    assert {r[0]: r[2] for r in survivors.survivors(df).collect()}["x"] in ("xA", "xB", "xC")
+
+
+def test_texts_with_one_beginning_are_told_apart(corpus):
+    opening = "This study describes the work of school principals in the rural schools of the region, "
+    works = [opening + f"with {k} interviews in {k} towns and the {k} lessons that their teams draw." for k in range(5)]
+    df = corpus(*[{"document_id": f"d{k}", "duplicate_group_id": f"g{k}", "abstract": t, "source_database": "S"} for k, t in enumerate(works)])
+    assert {r[0]: r[2] for r in survivors.survivors(df).collect()} == {f"g{k}": f"d{k}" for k in range(5)}
+
+
 PAGE = """REVISTA SOL DE EDUCACIÓN    12
 La planificación de la es-
 cuela rural orienta el trabajo de los equi-
@@ -140,6 +172,19 @@ def test_every_document_is_encoded(spark):
     assert encode_corpus.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_documents_are_joined_up_the_tree():
+    import pandas as pd
+
+    texts = [t for t in pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text if t and len(t) > 512]
+    encoder = encode_corpus.Encoder(encode_corpus.TOKENIZER_DIR + "/byte_bpe_50k.tiktoken")
+    joins = []
+    join = encoder.join
+    encoder.join = lambda *a: joins.append(0) or join(*a)
+    for t in texts:
+        before = len(joins)
+        assert encoder.encode(t) == encoder.whole(t) and len(joins) > before
+
+
 def test_leaks_are_those_of_brute_force(spark):
     random.seed(5)
     vocabulary = [f"w{i}" for i in range(60)] + ["Éxito", "ﬁn", "10"]
