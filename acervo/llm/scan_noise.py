@@ -1,12 +1,12 @@
 """Noise in text from scanned pages: cut words, misread signs, running headers, page numbers.
 
-Lines are told apart by ``pages``. The words of all texts are counted, and skip-gram
-vectors of words are taken in closed form: skip-gram with negative sampling factorises
-the matrix of shifted pointwise mutual information, so its row over context words,
-counted over the whole corpus, is the vector. A rare word is linked to the frequent words
-that plausible glyph edits turn it into; where it has several, every occurrence takes the
-one whose vector agrees best with the words around it. Corrected words are put back,
-furniture is removed and paragraphs are run on.
+Lines are told apart by ``pages``; every text is laid out once. The words of all texts are
+counted with their neighbours, and skip-gram vectors are trained over the counts
+(``skipgram``). A rare word is linked to the frequent words that plausible glyph edits turn
+it into. Every occurrence takes the reading whose vector agrees best with the words
+around it, weighed with its frequency; a word that could be a word of its own keeps its
+spelling where the vectors of its context speak against all readings. Corrected words are
+put back, furniture is removed and paragraphs are run on.
 """
 
 from __future__ import annotations
@@ -18,19 +18,24 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm import pages
+from acervo.llm import pages, skipgram
 from acervo.runtime import broadcast_if_small, cut, known, table
 
 #: A word is linked to one that occurs this many times oftener: one seen at most twice, or more; words with
 #: foreign signs are linked to any known one.
 OFTENER, MUCH_OFTENER = 4, 25
 KNOWN_LEAST = 2
-#: Context words on each side, and the shift of the mutual information.
+#: Context words on each side.
 REACH = 2
-SHIFT = 0.0
+#: Least mean agreement of a reading's vector with its context, where the word has no foreign sign.
+LEAST_AGREEMENT = -4.0
+#: Weight of the agreement beside the logarithm of the reading's frequency.
+CONTEXT_WEIGHT = 2.0
+#: Longest word of which two edits at once are read.
+TWO_EDITS = 30
 #: Words of one text of which pairs are counted at once.
 COUNT_WORDS = 400_000
 
@@ -58,7 +63,11 @@ def year_of(word: str) -> str | None:
 
 
 def readings(word: str) -> list[str]:
-    """Words that plausible glyph edits make of ``word``, the fewest edits first."""
+    """Words that plausible glyph edits make of ``word``, the fewest edits first.
+
+    Up to ``_MOST_EDITS`` foreign signs, none of them most of the word, are read as letters, with one
+    more edit; words of 6 to ``TWO_EDITS`` letters take two edits, others one, or all of one kind.
+    """
     foreign = [k for k, c in enumerate(word) if _FOREIGN.match(c)]
     if len(foreign) > _MOST_EDITS or foreign and (len(word) < 3 or 2 * len(foreign) >= len(word)):
         return []
@@ -78,7 +87,7 @@ def readings(word: str) -> list[str]:
     edge = bases
     seen = set(bases)
     # a word of foreign signs may have one more misread letter, another up to three of one kind
-    for depth in range(1 if foreign or len(word) < 6 else 2):
+    for _ in range(1 if foreign or not 6 <= len(word) <= TWO_EDITS else 2):
         new = []
         for b in edge:
             for seen_as, meant in GLYPHS:
@@ -93,7 +102,7 @@ def readings(word: str) -> list[str]:
                             new.append(w)
                     at = b.find(seen_as, at + 1)
         out |= dict.fromkeys(new)
-        edge = new if depth == 0 and len(new) < 400 else []
+        edge = new
     if not foreign:
         for seen_as, meant in GLYPHS:
             if b_count := word.count(seen_as):
@@ -119,16 +128,51 @@ def body_words(paragraphs: list[str]) -> Iterator[list[tuple[str, bool]]]:
             ]
 
 
-def _paragraphs(text: str, scanned: bool, title: str | None, journal: str | None):
-    if not scanned:
-        return [q for q in (" ".join(x.split()) for x in re.split(r"\n\s*\n", text)) if q], [], []
-    lines = pages.layout(text, title, journal)
-    body, cuts = pages.join_lines(lines, _plain_join)
-    return body, cuts, lines
+_EDGES = "'’_*\"“”«»()[].,;:!?¿¡"
+_LAID = (
+    "document_id string, scanned boolean, body array<string>, "
+    "cuts array<struct<left:string,right:string,joined:string,kept:string>>, "
+    "furniture array<struct<defect:string,item_value:string>>"
+)
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Every text's paragraphs (``body``), cut words and furniture (see ``_LAID``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = pa.struct([("left", pa.string()), ("right", pa.string()), ("joined", pa.string()), ("kept", pa.string())])
+        item = pa.struct([("defect", pa.string()), ("item_value", pa.string())])
+        for batch in batches:
+            bodies, cut_words, found = [], [], []
+            for text, scanned, title, journal in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                if not scanned:
+                    bodies.append([q for q in (" ".join(x.split()) for x in re.split(r"\n\s*\n", text)) if q])
+                    cut_words.append([])
+                    found.append([])
+                    continue
+                lines = pages.layout(text, title, journal)
+                body, cuts = pages.join_lines(lines, _plain_join)
+                bodies.append(body)
+                cut_words.append(
+                    [
+                        {"left": l, "right": r, "joined": (l + r).strip(_EDGES).lower(), "kept": f"{l}-{r}".strip(_EDGES).lower()}
+                        for l, r, _ in dict.fromkeys(cuts)
+                    ]
+                )
+                items = dict.fromkeys((l.kind, l.text) for l in lines if l.kind in ("header", "page_number"))
+                cores = (w.strip("'’-–—_*") for p in body for w in _WORD.findall(p))
+                items |= dict.fromkeys(("misread", y) for y in map(year_of, cores) if y)
+                found.append([{"defect": d, "item_value": v} for d, v in items])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(bodies, pa.list_(pa.string())), pa.array(cut_words, pa.list_(pair)), pa.array(found, pa.list_(item))],
+                names=["document_id", "scanned", "body", "cuts", "furniture"],
+            )
+
+    return rows.select("document_id", "text", "scanned", "title", "journal").mapInArrow(run, _LAID)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, scanned, title, journal) -> (word, context or '', n), summed over a stretch of rows."""
+    """(body) -> (word, context or '', n), summed over a stretch of rows."""
 
     def emit(ids: dict[str, int], stream: list[int]) -> pa.RecordBatch:
         names = np.array(list(ids), dtype=object)
@@ -155,8 +199,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: dict[str, int] = {}
     stream: list[int] = []
     for batch in batches:
-        for text, scanned, title, journal in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            body, _, _ = _paragraphs(text, scanned, title, journal)
+        for body in batch.column(0).to_pylist():
             for sentence in body_words(body):
                 for w, name in sentence:
                     stream.append(-1 if name or not _LETTER.search(w) else ids.setdefault(w, len(ids)))
@@ -172,8 +215,7 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scanned rows -> every word of the running text once a row, with the words around it."""
     for batch in batches:
         cols: list[list] = [[], [], []]
-        for doc, text, title, journal in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
-            body, cuts, _ = _paragraphs(text, True, title, journal)
+        for doc, body, cuts in zip(*(batch.column(k).to_pylist() for k in range(3))):
             held: dict[str, Counter] = {}
             for sentence in body_words(body):
                 words = [w for w, _ in sentence]
@@ -183,9 +225,8 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     around = held.setdefault(w, Counter())
                     around.update(words[max(0, k - REACH) : k] + words[k + 1 : k + 1 + REACH])
             kept = {w: list(c) for w, c in held.items()}
-            for left, right, _ in cuts:
-                whole = f"{left}-{right}".strip("'’_*\"“”«»()[].,;:!?¿¡").lower()
-                kept.setdefault(whole, [])
+            for c in cuts:
+                kept.setdefault(c["kept"], [])
             for w, c in kept.items():
                 for col, v in zip(cols, (doc, w, c)):
                     col.append(v)
@@ -210,18 +251,36 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def corrections(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _chosen(vectors):
+    """mapInArrow function: (document_id, word, around, choices) -> the reading that an occurrence takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = vectors.value
+        for batch in batches:
+            out = []
+            for doc, word, around, choices in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                best = None
+                for c in choices:
+                    agrees = model.agreement(c["reading"], around)
+                    if agrees is not None and agrees < LEAST_AGREEMENT and not _FOREIGN.search(word):
+                        continue
+                    score = CONTEXT_WEIGHT * (agrees or 0.0) + float(np.log(c["m"]))
+                    rank = (-score, c["place"], c["reading"])
+                    if best is None or rank < best:
+                        best = rank
+                if best is not None:
+                    out.append((doc, word, best[2]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["document_id", "word", "reading"])
+
+    return run
+
+
+def corrections(laid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Corrected words of scanned rows (``document_id, word, reading``), and counts of all words."""
-    counted = rows.select("text", "scanned", "title", "journal").mapInArrow(
-        _counts, "word string, context string, n bigint"
-    )
+    counted = laid.select("body").mapInArrow(_counts, "word string, context string, n bigint")
     counted = cut(counted.groupBy("word", "context").agg(F.sum("n").alias("n")))
     words = cut(counted.where("context = ''").select("word", "n"))
-    held = cut(
-        rows.where("scanned").select("document_id", "text", "scanned", "title", "journal").mapInArrow(
-            _suspects, "document_id string, word string, around array<string>"
-        )
-    )
+    held = cut(laid.where("scanned").select("document_id", "body", "cuts").mapInArrow(_suspects, "document_id string, word string, around array<string>"))
     asked = held.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     frequent = words.select(F.col("word").alias("reading"), F.col("n").alias("m")).where(
         (F.col("m") >= KNOWN_LEAST) & ~F.col("reading").rlike(r"[0-9@|$€]")
@@ -232,86 +291,14 @@ def corrections(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .mapInArrow(_linked, "word string, n bigint, reading string, place int")
         .join(frequent, "reading")
         .where(foreign | (F.col("m") >= F.when(F.col("n") <= 2, OFTENER).otherwise(MUCH_OFTENER) * F.col("n")))
+        .groupBy("word")
+        .agg(F.collect_list(F.struct("reading", "m", "place")).alias("choices"))
     )
-    links = cut(links.withColumn("choices", F.count(F.lit(1)).over(Window.partitionBy("word"))))
     # frequent words are in no link: a small list of links meets them without a shuffle
-    linked = broadcast_if_small(links)
-    single = held.join(linked.where("choices = 1"), "word").select("document_id", "word", "reading")
-    # several readings: the one whose vector agrees best with the words around this occurrence
-    total = words.agg(F.sum("n")).first()[0] or 1
-    seen = links.where("choices > 1").select("reading").distinct()
-    vectors = (
-        counted.where("context <> ''")
-        .join(seen.withColumnRenamed("reading", "word"), "word", "left_semi")
-        .join(words.select(F.col("word").alias("context"), F.col("n").alias("nc")), "context")
-        .join(words.select("word", F.col("n").alias("nw")), "word")
-        .select(
-            F.col("word").alias("reading"),
-            "context",
-            F.greatest(
-                F.lit(0.0),
-                F.log(F.col("n") * F.lit(float(total)) / (F.lit(2.0 * REACH) * F.col("nw") * F.col("nc"))) - F.lit(SHIFT),
-            ).alias("v"),
-        )
-    )
-    open_ = held.join(linked.where("choices > 1"), "word").select("document_id", "word", "around", "reading", "m", "place")
-    agreed = (
-        open_.select("document_id", "word", "reading", F.explode("around").alias("context"))
-        .join(vectors, ["reading", "context"])
-        .groupBy("document_id", "word", "reading")
-        .agg(F.sum("v").alias("agrees"))
-    )
-    best = Window.partitionBy("document_id", "word").orderBy(F.col("score").desc(), "place", "reading")
-    chosen = (
-        open_.join(agreed, ["document_id", "word", "reading"], "left")
-        .withColumn("score", F.coalesce("agrees", F.lit(0.0)) + F.log("m"))
-        .withColumn("r", F.row_number().over(best))
-        .where("r = 1")
-        .select("document_id", "word", "reading")
-    )
-    return single.unionByName(chosen), words
-
-
-def _hyphen_words(rows: DataFrame) -> DataFrame:
-    """Cut words of scanned rows: ``document_id, left, right, joined, kept``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text, title, journal in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                lines = pages.layout(text, title, journal)
-                _, cuts = pages.join_lines(lines, _plain_join)
-                for left, right, _ in dict.fromkeys(cuts):
-                    trim = "'’_*\"“”«»()[].,;:!?¿¡"
-                    out.append((doc, left, right, (left + right).strip(trim).lower(), f"{left}-{right}".strip(trim).lower()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], pa.string()) for k in range(5)],
-                names=["document_id", "left", "right", "joined", "kept"],
-            )
-
-    return rows.where("scanned").select("document_id", "text", "title", "journal").mapInArrow(
-        run, "document_id string, left string, right string, joined string, kept string"
-    )
-
-
-def _furniture(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text, title, journal in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                lines = pages.layout(text, title, journal)
-                out += [(doc, l.kind, l.text) for l in dict.fromkeys(lines) if l.kind in ("header", "page_number")]
-                body, _ = pages.join_lines(lines, _plain_join)
-                years = {(w.strip("'’-–—_*"), year_of(w.strip("'’-–—_*"))) for p in body for w in _WORD.findall(p)}
-                out += [(doc, "misread", y) for _, y in years if y]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], pa.string()) for k in range(3)],
-                names=["document_id", "defect", "item_value"],
-            )
-
-    return rows.where("scanned").select("document_id", "text", "title", "journal").mapInArrow(
-        run, "document_id string, defect string, item_value string"
-    )
+    linked = broadcast_if_small(cut(links))
+    vectors = laid.sparkSession.sparkContext.broadcast(skipgram.train(counted, words))
+    open_ = held.join(linked, "word").select("document_id", "word", "around", "choices")
+    return open_.mapInArrow(_chosen(vectors), "document_id string, word string, reading string"), words
 
 
 def _rows(corpus: DataFrame) -> DataFrame:
@@ -328,9 +315,9 @@ def _rows(corpus: DataFrame) -> DataFrame:
     )
 
 
-def _whole_words(rows: DataFrame, fixed: DataFrame, words: DataFrame) -> DataFrame:
+def _whole_words(laid: DataFrame, fixed: DataFrame, words: DataFrame) -> DataFrame:
     """Cut words with how they are written whole: ``document_id, left, right, whole``."""
-    pieces = _hyphen_words(rows)
+    pieces = laid.select("document_id", F.explode("cuts").alias("c")).select("document_id", "c.*")
     n = words.select(F.col("word"), F.col("n"))
     known_pieces = (
         pieces.join(n.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left")
@@ -364,10 +351,10 @@ def scan_defects(corpus: DataFrame) -> DataFrame:
     between readings go to fewer edits and then to the lesser word; an empty table gives an
     empty result; other columns are ignored.
     """
-    rows = cut(_rows(corpus))
-    fixed, words = corrections(rows)
+    laid = cut(laid_out(_rows(corpus)))
+    fixed, words = corrections(laid)
     fixed = cut(fixed)
-    whole = cut(_whole_words(rows, fixed, words))
+    whole = cut(_whole_words(laid, fixed, words))
     hyphens = whole.select("document_id", F.lit("hyphen").alias("defect"), F.col("whole").alias("item_value"))
     kept_forms = whole.where("whole like '%-%'").select(
         "document_id", F.regexp_replace("whole", "-", "").alias("reading")
@@ -375,15 +362,17 @@ def scan_defects(corpus: DataFrame) -> DataFrame:
     misread = fixed.join(kept_forms, ["document_id", "reading"], "left_anti").select(
         "document_id", F.lit("misread").alias("defect"), F.col("reading").alias("item_value")
     )
-    return hyphens.unionByName(misread).unionByName(_furniture(rows)).distinct()
+    furniture = laid.select("document_id", F.explode("furniture").alias("f")).select("document_id", "f.*")
+    return hyphens.unionByName(misread).unionByName(furniture).distinct()
 
 
 def repaired_texts(corpus: DataFrame) -> DataFrame:
     """``document_id, repaired``: scanned texts as continuous paragraphs in their true spelling."""
     rows = cut(_rows(corpus))
-    fixed, words = corrections(rows)
+    laid = cut(laid_out(rows))
+    fixed, words = corrections(laid)
     fixed = cut(fixed)
-    whole = _whole_words(rows, fixed, words)
+    whole = _whole_words(laid, fixed, words)
     marks = (
         fixed.select("document_id", F.struct(F.col("word").alias("a"), F.lit("").alias("b"), F.col("reading").alias("w")).alias("m"))
         .unionByName(whole.select("document_id", F.struct(F.col("left").alias("a"), F.col("right").alias("b"), F.col("whole").alias("w")).alias("m")))

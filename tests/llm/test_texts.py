@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from acervo.llm import encode_corpus, eval_leaks, languages, pages, scan_noise, shared_spans, survivors
@@ -117,6 +118,32 @@ def test_scanned_text_is_repaired(corpus):
     assert scan_noise.scan_defects(df.limit(0)).count() == 0
 
 
+def _weather_and_months(corpus):
+    """Clean texts of two subjects, and scanned ones with a word that has a reading in each."""
+    weather = ["un viento malo trajo lluvia fría al valle", "otro viento malo trajo nieve fría al monte", "aquel viento malo trajo lluvia gris al puerto"]
+    months = ["desde abril o maio empieza curso nuevo de idiomas", "hasta junho o maio empieza taller nuevo de lectura", "entre abril o maio empieza curso breve de idiomas"]
+    clean = [{"document_id": f"c{k}", "text_for_modeling": ". ".join(weather + months) + "."} for k in range(20)]
+    ladies = [{"document_id": f"l{k}", "text_for_modeling": "La dama blanca de la torre canta. La dama blanca de la torre duerme."} for k in range(20)]
+    return corpus(
+        *clean, *ladies,
+        {"document_id": "w", "text_for_modeling": "un viento ma1o trajo lluvia gris al monte.", "pdf_path_or_id": "w.pdf"},
+        {"document_id": "m", "text_for_modeling": "hasta abril o ma1o empieza taller breve de lectura.", "pdf_path_or_id": "m.pdf"},
+        {"document_id": "d", "text_for_modeling": "viento clama trajo lluvia.", "pdf_path_or_id": "d.pdf"},
+    )
+
+
+def test_context_decides_between_readings(corpus, monkeypatch):
+    df = _weather_and_months(corpus)
+    found = lambda: {(r.document_id, r.item_value) for r in scan_noise.scan_defects(df).where("defect = 'misread'").collect()}
+    # a word of its own among words that its one reading never keeps company with stays
+    assert found() == {("w", "malo"), ("m", "maio")}
+    # without vectors the readings cannot be told apart, and the rare word is taken for the frequent one
+    nothing = np.zeros((0, scan_noise.skipgram.DIM), dtype=np.float32)
+    monkeypatch.setattr(scan_noise.skipgram, "train", lambda *given: scan_noise.skipgram.Vectors([], nothing, nothing))
+    blind = found()
+    assert len({v for d, v in blind if d in "wm"}) == 1 and ("d", "dama") in blind
+
+
 def test_layout_knows_furniture_from_text():
     kinds = [x.kind for x in pages.layout("Silva, Ana María\n[47]\nPágina 9\nv\n2014.\n(p. 99)\n[sic]\nText that runs on")]
     assert kinds == ["header", "page_number", "page_number", "page_number", "body", "body", "body", "body"]
