@@ -166,10 +166,14 @@ def _stretches(least: int, window: int):
 def _shared_names(places: DataFrame) -> DataFrame:
     """Places whose name occurs in more than one class, with the number of places of the name.
 
-    Names are counted by aggregation and met again, so no task gathers the places of one name.
+    Names are counted by aggregation and met again over the same shuffle, so the places of one
+    name stream by and are never gathered.
     """
-    counts = places.groupBy("name").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
-    return places.join(counts.where("low < high").select("name", "n"), "name").select("name", "class", "start", "n")
+    places = places.repartition("name")
+    told = (F.min("class").alias("low"), F.max("class").alias("high"), F.min("start").alias("first"), F.count(F.lit(1)).alias("n"))
+    # starts are 0 or more; asking for them keeps both sides alike, so the shuffle is made once
+    counts = places.groupBy("name").agg(*told).where("low < high and first >= 0")
+    return places.join(counts.select("name", "n"), "name").select("name", "class", "start", "n")
 
 
 def with_classes(rows: DataFrame) -> DataFrame:
