@@ -84,14 +84,29 @@ def overrides(df: DataFrame, decisions: DataFrame, key: str, column: str) -> Dat
     return df.join(broadcast_if_small(d), key, "left").withColumn(column, F.coalesce("_d", column)).drop("_d")
 
 
-def contained(df: DataFrame, text: Column, needles: DataFrame, needle: str, least: int) -> DataFrame:
-    """Rows whose ``text`` holds a needle of ``least`` characters or more.
+def contained(df: DataFrame, text: Column, needles: DataFrame, needle: str, least: int, gram: int = 5) -> DataFrame:
+    """Rows whose ``text`` holds a needle of more than ``least`` characters, anywhere.
 
-    Needles are found through their first word of full length: an equi-join on words, with
-    the containment test after it, so no nested loop over both tables.
+    The first and last word of a needle may be parts of words in the text; those between are
+    whole there, so a needle meets texts by its longest inner word. One without an
+    inner word meets them by its first ``gram`` letters, listed at every place of the text. Both are
+    equi-joins with the containment test after them. Null and shorter needles find nothing.
     """
     n = needles.where(F.length(needle) > least).select(F.col(needle).alias("_n")).distinct()
-    n = n.withColumn("_w", F.element_at(F.split("_n", " "), 2)).where("_w is not null")
-    words = df.withColumn("_t", text).withColumn("_w", F.explode(F.array_distinct(F.split("_t", " "))))
-    hits = words.join(n, "_w").where(F.contains("_t", F.col("_n")))
-    return hits.drop("_t", "_w", "_n").distinct()
+    words = F.split("_n", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    n = n.withColumn("_w", longest)
+    rows = df.withColumn("_t", text)
+    whole = rows.withColumn("_w", F.explode(F.array_distinct(F.split("_t", " ")))).join(n.where("_w is not null"), "_w")
+    bare = n.where("_w is null").withColumn("_w", F.substring("_n", 1, gram))
+    hits = whole
+    if not bare.isEmpty():
+        places = F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))
+        grams = F.array_distinct(F.transform(places, lambda k: F.substring(F.col("_t"), k, F.lit(gram))))
+        short = F.when(F.length("_w") < gram, F.length("_w")).otherwise(gram)
+        sizes = [r[0] for r in bare.select(short.alias("k")).distinct().collect()]
+        for k in sizes:  # gram sizes of needles shorter than ``gram`` letters: 1 to ``gram`` at most
+            listed = F.array_distinct(F.transform(places, lambda p, k=k: F.substring(F.col("_t"), p, F.lit(k)))) if k < gram else grams
+            hits = hits.unionByName(rows.withColumn("_w", F.explode(listed)).join(bare.where(F.length("_w") == k), "_w"))
+    return hits.where(F.contains("_t", F.col("_n"))).drop("_t", "_w", "_n").distinct()

@@ -9,7 +9,9 @@ from acervo.functions.text import label_key
 from acervo.runtime import broadcast_if_small, known
 
 #: Named thresholds of the weighted similarity.
-PROFILES = {"exploratory": 0.10, "balanced": 0.20, "strict": 0.35}
+PROFILES = {"exploratory": 0.10, "balanced": 0.20, "strict": 0.30}
+#: The plain Jaccard similarity that the weighted one is compared with.
+CONTROL = 0.20
 EPS = 1e-12
 
 
@@ -35,8 +37,8 @@ def keyword_weights(clean: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("keyword", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def network_edges(clean: DataFrame, least: float = 0.20, min_shared: int = 2) -> DataFrame:
-    """Edges between records that share ``min_shared`` keywords and reach ``least``.
+def network_edges(clean: DataFrame, least: float = 0.20, min_shared: int = 2, plain: bool = False) -> DataFrame:
+    """Edges between records that share ``min_shared`` keywords and reach ``least``, in weight or in ``plain`` Jaccard similarity.
 
     The weight is the idf of the shared keywords over the idf of all keywords of either.
     Only keywords in the prefix of a record (rarest first, until the rest cannot reach the
@@ -48,13 +50,13 @@ def network_edges(clean: DataFrame, least: float = 0.20, min_shared: int = 2) ->
     sets = weighed.groupBy("record_id").agg(
         F.sort_array(F.collect_list(F.struct("idf", "keyword"))).alias("kws"), F.sum("idf").alias("total"), F.count(F.lit(1)).alias("n")
     )
-    sets = sets.withColumn("class", F.xxhash64(F.transform("kws", lambda k: k["keyword"])))
+    # 128 bits tell keyword sets apart
+    sets = sets.withColumn("class", F.md5(F.array_join(F.transform("kws", lambda k: k["keyword"]), "\n")))
     classes = sets.dropDuplicates(["class"]).select("class", "kws", "total", "n")
     desc = Window.partitionBy("class").orderBy(F.col("idf").desc(), "keyword")
     rows = classes.select("class", "total", "n", F.explode("kws").alias("k")).select("class", "total", "n", "k.keyword", "k.idf")
-    prefix = rows.withColumn(
-        "ahead", F.col("total") - F.sum("idf").over(desc) + F.col("idf")
-    ).where(F.col("ahead") + EPS >= F.lit(least) * F.col("total"))
+    part, whole = (F.lit(1.0), F.col("n")) if plain else (F.col("idf"), F.col("total"))
+    prefix = rows.withColumn("ahead", whole - F.sum(part).over(desc) + part).where(F.col("ahead") + EPS >= F.lit(least) * whole)
     pairs = (
         prefix.select("keyword", F.col("class").alias("a"))
         .join(rows.select("keyword", F.col("class").alias("b")), "keyword")
@@ -77,8 +79,8 @@ def network_edges(clean: DataFrame, least: float = 0.20, min_shared: int = 2) ->
         .withColumn("shared_count", F.size("shared"))
         .where(F.col("shared_count") >= min_shared)
         .withColumn("weight", inter / (F.col("ta") + F.col("tb") - inter))
-        .where(F.col("weight") + EPS >= least)
         .withColumn("jaccard", F.col("shared_count") / (F.col("na") + F.col("nb") - F.col("shared_count")))
+        .where(F.col("jaccard" if plain else "weight") + EPS >= least)
         .select("a", "b", "weight", "shared_count", "jaccard")
     )
     m = sets.select("class", "record_id")

@@ -21,8 +21,7 @@ SQL_CLEAN = rf"""
     from k left join r on k.key = r.key where k.key <> '' and (action is null or action <> 'exclude')),
   w as (select keyword, count(*) as df, ln(((select count(distinct record_id) from c) + 1) / (count(*) + 1)) + 1 as idf from c group by keyword)
 """
-#: The weight from which these queries link records; the operator takes any.
-LEAST = 0.6
+LEAST = N.PROFILES["balanced"]
 SQL_EDGES = f"""{SQL_CLEAN},
   t as (select record_id, sum(idf) as total, count(*) as n from c join w using (keyword) group by record_id),
   p as (select a.record_id as source, b.record_id as target, sum(idf) as inter, count(*) as shared_count
@@ -30,8 +29,10 @@ SQL_EDGES = f"""{SQL_CLEAN},
   e as (select source, target, inter / (x.total + y.total - inter) as weight, shared_count,
       shared_count / (x.n + y.n - shared_count) as jaccard
     from p join t x on x.record_id = source join t y on y.record_id = target
-    where shared_count >= 2 and inter / (x.total + y.total - inter) + 1e-12 >= {LEAST})
+    where shared_count >= 2 and inter / (x.total + y.total - inter) + 1e-12 >= {{0}})
 """
+_PAIRS = SQL_EDGES.format(0)
+SQL_EDGES = SQL_EDGES.format(LEAST)
 
 
 def clean(spark, d):
@@ -63,15 +64,17 @@ def keyword_network(spark, d):
 
 @query(
     "network_profiles",
-    f"""with {SQL_EDGES} select profile, count(*) as edges, count(distinct source) as sources from e,
-    (values ('near', 0.6), ('same', 0.8)) v(profile, least) where weight + 1e-12 >= least group by profile""",
+    f"""with {_PAIRS} select profile, count(*) as edges, count(distinct source) as sources from e,
+    (values {", ".join(f"('{k}', {v}, false)" for k, v in N.PROFILES.items())}, ('control', {N.CONTROL}, true)) v(profile, least, plain)
+    where (case when plain then jaccard else weight end) + 1e-12 >= least group by profile""",
 )
 def network_profiles(spark, d):
-    e = cut(edges(spark, d).select("source", "weight"))
-    out = None
-    for name, least in {"near": 0.6, "same": 0.8}.items():
-        part = e.where(F.col("weight") + N.EPS >= least).select(F.lit(name).alias("profile"), "source")
-        out = part if out is None else out.unionAll(part)
+    """Edges at each named threshold of the weight, and at the control threshold of plain Jaccard similarity."""
+    words = cut(clean(spark, d))
+    e = cut(N.network_edges(words, min(N.PROFILES.values())).select("source", "weight"))
+    out = N.network_edges(words, N.CONTROL, plain=True).select(F.lit("control").alias("profile"), "source")
+    for name, least in N.PROFILES.items():
+        out = out.unionAll(e.where(F.col("weight") + N.EPS >= least).select(F.lit(name).alias("profile"), "source"))
     return out.groupBy("profile").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source").alias("sources"))
 
 

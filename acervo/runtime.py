@@ -11,8 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured rows stay under this bound.
+#: A side is broadcast only when its measured rows and bytes stay under these bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 #: Spellings that stand for a missing value in any string column.
 NULL_TOKENS = ("", "nan", "none", "null", "na", "n/a")
@@ -52,12 +53,17 @@ def known(column):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only in one local process where none is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         present = sc._jsc.sc().getCheckpointDir()
-        named = present.get() if present.isDefined() else os.path.join(tempfile.gettempdir(), "acervo-checkpoints")
+        if present.isDefined():
+            named = present.get()
+        elif sc.master == "local" or sc.master.startswith("local["):
+            named = os.path.join(tempfile.gettempdir(), "acervo-checkpoints")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named
@@ -69,9 +75,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
-    return df.limit(limit + 1).count() <= limit
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows of ``most_bytes`` in all; reads no more than ``limit + 1`` rows."""
+    plain = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz"}
+    sizes = [F.lit(8) if kind in plain else F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(8)) for c, kind in df.dtypes]
+    rows, held = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(sizes, F.lit(0))), F.lit(0))).first()
+    return rows <= limit and held <= most_bytes
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

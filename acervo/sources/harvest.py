@@ -13,6 +13,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import urlencode
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,19 +69,19 @@ class WorksReader(DataSourceReader):
         return [Term(t) for t in self.options.get("query", "").split("|")]
 
     def read(self, partition: Term) -> Iterator[tuple[str, int, str]]:
-        most = int(self.options.get("max_pages", "1000"))
+        most = int(self.options["max_pages"]) if "max_pages" in self.options else None
         since = self.options.get("since", "")
         folder = self.options.get("pages")
         cursor, page = "*", 0
-        while cursor and page < most:
+        while cursor and (most is None or page < most):
             if folder:
                 file = Path(folder) / f"{partition.term.replace(' ', '_')}-{page}.json"
                 if not file.exists():
                     return
                 body = json.loads(file.read_text(encoding="utf-8"))
             else:
-                flt = f"&filter=from_publication_date:{since}" if since else ""
-                body = json.loads(fetch(f"{self.options['url']}?search={partition.term.replace(' ', '%20')}&cursor={cursor}{flt}"))
+                asked = {"search": partition.term, "cursor": cursor} | ({"filter": f"from_publication_date:{since}"} if since else {})
+                body = json.loads(fetch(f"{self.options['url']}?{urlencode(asked)}"))
             for work in body.get("results") or []:
                 if not since or (work.get("publication_date") or "9999") >= since:
                     yield partition.term, page, json.dumps(work)
