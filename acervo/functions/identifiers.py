@@ -21,6 +21,34 @@ def doi(c: Column | str) -> Column:
     return F.regexp_replace(F.trim(text), r"[.,;)]+$", "")
 
 
+#: Resolver and label before a DOI; per form what is taken off it: the resolver's place (at the front,
+#: anywhere, or not), the label's pattern, closing signs, and whether null tokens count as none.
+RESOLVER = r"https?://(?:dx\.)?doi\.org/"
+DOI_FORMS = {
+    "corpus": (r"^" + RESOLVER, r"^doi:\s*", ".,;)", True),
+    "harvest": (r"^.*doi\.org/", "", "", False),
+    "enrichment": (r"^" + RESOLVER, r"^doi:", "", False),
+    "matrix": (r"^" + RESOLVER, r"^doi:\s*", ".", False),
+    "files": (r"https?://doi\.org/", "", "", False),
+}
+
+
+def doi_in_form(c: Column | str, form: str) -> Column:
+    """The DOI as one of ``DOI_FORMS`` writes it; '' for null."""
+    resolver, label, tail, tokens = DOI_FORMS[form]
+    text = F.lower(clean_value(c) if tokens else F.btrim(F.coalesce(as_column(c), F.lit(""))))
+    text = F.regexp_replace(text, resolver, "")
+    if label:
+        text = F.regexp_replace(text, label, "")
+    text = F.btrim(text) if tokens or form == "harvest" else text
+    return F.rtrim(text, F.lit(tail)) if tail else text
+
+
+def doi_found(c: Column | str) -> Column:
+    """The first DOI in a text by its grammar (10., digits, slash, suffix), in lower case; '' for none."""
+    return F.regexp_extract(F.lower(F.coalesce(as_column(c), F.lit(""))), r"(10\.[0-9]{4,9}/[-._;()/:a-z0-9]*[a-z0-9])", 1)
+
+
 def doi_is_valid(c: Column | str) -> Column:
     return doi(c).rlike(r"^10\.\d{4,9}/\S+$")
 

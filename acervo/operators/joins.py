@@ -103,10 +103,11 @@ def contained(df: DataFrame, text: Column, needles: DataFrame, needle: str, leas
     hits = whole
     if not bare.isEmpty():
         places = F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))
-        grams = F.array_distinct(F.transform(places, lambda k: F.substring(F.col("_t"), k, F.lit(gram))))
-        short = F.when(F.length("_w") < gram, F.length("_w")).otherwise(gram)
-        sizes = [r[0] for r in bare.select(short.alias("k")).distinct().collect()]
-        for k in sizes:  # gram sizes of needles shorter than ``gram`` letters: 1 to ``gram`` at most
-            listed = F.array_distinct(F.transform(places, lambda p, k=k: F.substring(F.col("_t"), p, F.lit(k)))) if k < gram else grams
-            hits = hits.unionByName(rows.withColumn("_w", F.explode(listed)).join(bare.where(F.length("_w") == k), "_w"))
+
+        def grams(k: int) -> Column:
+            return F.array_distinct(F.transform(places, lambda p: F.substring(F.col("_t"), p, F.lit(k))))
+
+        # needles shorter than ``gram`` are listed by their own length: ``gram`` passes at most
+        for (k,) in bare.select(F.length("_w")).distinct().collect():
+            hits = hits.unionByName(rows.withColumn("_w", F.explode(grams(k))).join(bare.where(F.length("_w") == k), "_w"))
     return hits.where(F.contains("_t", F.col("_n"))).drop("_t", "_w", "_n").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from acervo.operators.packed_values import split_packed
-from acervo.plans import content_queries, detail_queries, network_queries, record_queries, stream_queries, text_queries, topic_queries  # noqa: F401
+from acervo.plans import content_queries, detail_queries, network_queries, record_queries, review_queries, stream_queries, text_queries, topic_queries  # noqa: F401
 from acervo.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from acervo.runtime import table
 
