@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -19,6 +20,9 @@ BROADCAST_BYTES = 64_000_000
 NULL_TOKENS = ("", "nan", "none", "null", "na", "n/a")
 
 
+#: Files of cut lineage are released at most this often.
+RELEASE_SECONDS = 3.0
+_released = 0.0
 _shipped: dict[str, str] = {}
 
 
@@ -71,8 +75,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    global _released
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if time.monotonic() - _released > RELEASE_SECONDS:
+        # shuffle files that no lineage needs any more go when the driver collects its garbage
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+    return out
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
