@@ -28,6 +28,8 @@ from acervo.runtime import cut, table
 LEAST = 250
 WINDOW = 72
 HOT = 64
+#: Bits, as a power of two, of the map of classes whose texts are asked for.
+MAP_BITS = 26
 #: Classes whose copies one task recognises.
 SEEN_KEPT = 1_000_000
 #: Characters parsed at once by one task.
@@ -188,6 +190,21 @@ def with_classes(rows: DataFrame) -> DataFrame:
     return first.withColumn("class", F.when(F.col("class").isin(bad), F.xxhash64(F.md5("text"), "text")).otherwise(F.col("class"))) if bad else first
 
 
+def of_asked(rows: DataFrame, asked: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """The ``rows`` whose ``class`` is in ``asked``.
+
+    A bitmap of the asked classes' hashes goes before the join, so texts that nobody asks for
+    are mostly not shuffled. It has ``2 ** bits`` bits (8 MB) whatever the number of classes.
+    """
+    place = F.pmod(F.xxhash64(F.lit(1), F.col("class")), F.lit(1 << bits)) + 1
+    maps = asked.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.bit_get(byte, (at % 8).cast("int"))
+    likely = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket").where(bit == 1)
+    return likely.select(*rows.columns).join(asked, "class", "left_semi")
+
+
 def shared_spans(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST, window: int = WINDOW
 ) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +228,7 @@ def shared_spans(
     cool = met.where(F.col("n") <= HOT).select("name", "class", "start")
     if not hot.isEmpty():
         spots = hot.groupBy("class").agg(F.collect_set("start").alias("starts"))
-        texts = rows.join(spots.select("class"), "class", "left_semi").dropDuplicates(["class"])
+        texts = of_asked(rows.select("class", "text"), spots.select("class")).dropDuplicates(["class"])
         around = texts.join(spots, "class").select("class", "text", "starts")
         far = around.mapInArrow(_stretches(least, window), "name bigint, class bigint, start int")
         cool = cool.unionByName(_shared_names(far).select("name", "class", "start"))
@@ -227,7 +244,7 @@ def shared_spans(
     )
     meet = cut(meet)
     asked = meet.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    texts = cut(rows.select("class", "text").join(asked, "class", "left_semi").dropDuplicates(["class"]))
+    texts = cut(of_asked(rows.select("class", "text"), asked).dropDuplicates(["class"]))
     spans = (
         meet.join(texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), "class_a")
         .join(texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b")), "class_b")

@@ -296,6 +296,15 @@ def test_hot_boilerplate_is_told_apart(spark, monkeypatch):
     assert got == brute_pairs(docs, 250) and len(got) == 28
 
 
+@pytest.mark.parametrize("bits", [15, 17, 26])
+def test_bitmaps_lose_no_class(spark, bits):
+    rows = spark.range(3000).selectExpr("id * 7 - 9000 as class", "'t' as text")
+    asked = spark.range(0, 3000, 9).selectExpr("id * 7 - 9000 as class")
+    got = {r["class"] for r in shared_spans.of_asked(rows, asked, bits).collect()}
+    assert got == {r["class"] for r in asked.collect()}
+    assert shared_spans.of_asked(rows, asked.limit(0), bits).count() == 0
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     spans, members = shared_spans.shared_spans(df)
