@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.text import label_key
-from acervo.runtime import broadcast_if_small, known
+from acervo.runtime import broadcast_if_small, cut, known
 
 #: Named thresholds of the weighted similarity.
 PROFILES = {"exploratory": 0.10, "balanced": 0.20, "strict": 0.30}
 #: The plain Jaccard similarity that the weighted one is compared with.
 CONTROL = 0.20
 EPS = 1e-12
+#: Members of a class that one list holds, and nodes of the trees that one task remembers.
+LISTED, TREES_KEPT = 500, 500_000
 
 
 def clean_keywords(keywords: DataFrame, rules: DataFrame) -> DataFrame:
@@ -37,64 +39,87 @@ def keyword_weights(clean: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("keyword", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def network_edges(clean: DataFrame, least: float = 0.20, min_shared: int = 2, plain: bool = False) -> DataFrame:
-    """Edges between records that share ``min_shared`` keywords and reach ``least``, in weight or in ``plain`` Jaccard similarity.
+def keyword_classes(clean: DataFrame, min_shared: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Records of equal keyword sets as one class, and the members of the classes.
 
-    The weight is the idf of the shared keywords over the idf of all keywords of either.
-    Only keywords in the prefix of a record (rarest first, until the rest cannot reach the
-    threshold) make candidate pairs, so frequent keywords pair nobody by themselves.
-    Records with equal keyword sets are compared once, as one class, and expanded last.
+    The first table has ``class, ids, idfs, total, n, m``: the keywords by number in order of
+    their idf, the sum and the number of them, and the number of members. The second has
+    ``class, record_id``. Sets of fewer than ``min_shared`` keywords share too few with any.
     """
-    weights = keyword_weights(clean)
-    weighed = clean.join(weights, "keyword")
-    sets = weighed.groupBy("record_id").agg(
-        F.sort_array(F.collect_list(F.struct("idf", "keyword"))).alias("kws"), F.sum("idf").alias("total"), F.count(F.lit(1)).alias("n")
-    )
-    # 128 bits tell keyword sets apart
-    sets = sets.withColumn("class", F.md5(F.array_join(F.transform("kws", lambda k: k["keyword"]), "\n")))
-    classes = sets.dropDuplicates(["class"]).select("class", "kws", "total", "n")
-    desc = Window.partitionBy("class").orderBy(F.col("idf").desc(), "keyword")
-    rows = classes.select("class", "total", "n", F.explode("kws").alias("k")).select("class", "total", "n", "k.keyword", "k.idf")
-    part, whole = (F.lit(1.0), F.col("n")) if plain else (F.col("idf"), F.col("total"))
-    prefix = rows.withColumn("ahead", whole - F.sum(part).over(desc) + part).where(F.col("ahead") + EPS >= F.lit(least) * whole)
-    pairs = (
-        prefix.select("keyword", F.col("class").alias("a"))
-        .join(rows.select("keyword", F.col("class").alias("b")), "keyword")
-        .where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    side = lambda x: classes.select(
-        F.col("class").alias(x), F.col("kws").alias(f"k{x}"), F.col("total").alias(f"t{x}"), F.col("n").alias(f"n{x}")
+    weights = cut(keyword_weights(clean).select("keyword", "idf", F.monotonically_increasing_id().alias("id")))
+    sets = (
+        clean.join(weights, "keyword")
+        .groupBy("record_id")
+        .agg(F.sort_array(F.collect_list(F.struct("idf", "id"))).alias("kws"))
+        .where(F.size("kws") >= min_shared)
     )
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.array_intersect("ka", "kb"))
-    same = classes.select(
-        F.col("class").alias("a"), F.col("class").alias("b"), F.col("kws").alias("shared"),
-        F.col("total").alias("ta"), F.col("total").alias("tb"), F.col("n").alias("na"), F.col("n").alias("nb"),
+    sets = cut(sets)
+    classes = sets.groupBy("kws").agg(F.count(F.lit(1)).alias("m"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
+    members = cut(sets.join(classes, "kws").select("class", "record_id"))
+    told = classes.select(
+        "class", F.col("kws.id").alias("ids"), F.col("kws.idf").alias("idfs"),
+        F.aggregate("kws", F.lit(0.0), lambda s, k: s + k["idf"]).alias("total"), F.size("kws").alias("n"), "m",
     )
-    inter = F.aggregate("shared", F.lit(0.0), lambda s, k: s + k["idf"])
-    scored = (
-        both.select("a", "b", "shared", "ta", "tb", "na", "nb")
-        .unionByName(same)
+    return told, members
+
+
+def class_edges(classes: DataFrame, least: float = 0.20, min_shared: int = 2, plain: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``a, b, weight, shared_count, jaccard`` of every pair of classes that is linked, once, and the ``carry`` columns of both.
+
+    Classes meet in the two rarest keywords that they share (the one, where one is enough), the
+    rarest of which is in the prefix of either: before it, what is left cannot reach the
+    threshold. Their sets come along, so a pair is scored where it meets and never shuffled.
+    A column ``x`` of ``carry`` gives ``x_a`` and ``x_b``.
+    """
+    deep = min_shared > 1
+    whole = F.col("n" if plain else "total")
+    reach = F.expr("aggregate(slice(idfs, 1, i + 1), 0D, (s, x) -> s + " + ("1D)" if plain else "x)"))
+    first = classes.select("*", F.posexplode("ids").alias("i", "k")).where(reach + 1e-9 * whole >= F.lit(least) * whole)
+    rows = first.withColumn("j", F.explode(F.slice("ids", F.lit(1), F.col("i")))) if deep else first.withColumn("j", F.lit(None).cast("bigint"))
+    own = ["class", "ids", "idfs", "total", "n", *carry]
+    on = ["k", "j"] if deep else ["k"]
+    side = lambda x: rows.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in own))
+    inter = F.expr("aggregate(zip_with(ids_a, idfs_a, (k, v) -> if(array_contains(shared, k), v, 0D)), 0D, (s, x) -> s + x)")
+    rarest = F.element_at("shared", -1) == F.col("k")
+    return (
+        side("a").join(side("b"), on)
+        .where("class_a < class_b")
+        .withColumn("shared", F.array_intersect("ids_a", "ids_b"))
         .withColumn("shared_count", F.size("shared"))
         .where(F.col("shared_count") >= min_shared)
-        .withColumn("weight", inter / (F.col("ta") + F.col("tb") - inter))
-        .withColumn("jaccard", F.col("shared_count") / (F.col("na") + F.col("nb") - F.col("shared_count")))
+        .where(rarest & (F.element_at("shared", -2) == F.col("j")) if deep else rarest)
+        .withColumn("inter", inter)
+        .withColumn("weight", F.col("inter") / (F.col("total_a") + F.col("total_b") - F.col("inter")))
+        .withColumn("jaccard", F.col("shared_count") / (F.col("n_a") + F.col("n_b") - F.col("shared_count")))
         .where(F.col("jaccard" if plain else "weight") + EPS >= least)
-        .select("a", "b", "weight", "shared_count", "jaccard")
-    )
-    m = sets.select("class", "record_id")
-    return (
-        scored.join(m.select(F.col("class").alias("a"), F.col("record_id").alias("x")), "a")
-        .join(m.select(F.col("class").alias("b"), F.col("record_id").alias("y")), "b")
-        .where("x <> y and (a <> b or x < y)")
         .select(
-            F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"),
-            "weight", F.col("shared_count").cast("bigint").alias("shared_count"), "jaccard",
+            F.col("class_a").alias("a"), F.col("class_b").alias("b"), "weight", F.col("shared_count").cast("bigint").alias("shared_count"),
+            "jaccard", *(f"{c}_{x}" for c in carry for x in "ab"),
         )
     )
 
 
+def network_edges(clean: DataFrame, least: float = 0.20, min_shared: int = 2, plain: bool = False) -> DataFrame:
+    """Edges between records that share ``min_shared`` keywords and reach ``least``, in weight or in ``plain`` Jaccard similarity.
+
+    The weight is the idf of the shared keywords over the idf of all keywords of either.
+    Records with equal keyword sets are compared once, as one class; the members of a class
+    come along in lists of ``LISTED`` at most, so no edge is shuffled.
+    """
+    classes, members = keyword_classes(clean, min_shared)
+    list_of = F.pmod(F.xxhash64("record_id"), F.ceil(F.col("m") / LISTED))
+    lists = members.join(classes.select("class", "m"), "class").groupBy("class", list_of.alias("list")).agg(F.collect_list("record_id").alias("who"))
+    lists = cut(lists.select("class", "list", "who"))
+    across = class_edges(classes.join(lists.select("class", "who"), "class"), least, min_shared, plain, ("who",))
+    across = across.withColumn("x", F.explode("who_a")).withColumn("y", F.explode("who_b"))
+    alike = classes.where(F.lit(1.0) + EPS >= least).where("m > 1").select("class", F.lit(1.0).alias("weight"), F.col("n").cast("bigint").alias("shared_count"), F.lit(1.0).alias("jaccard"))
+    pair = lists.join(alike, "class").join(lists.select("class", F.col("list").alias("other"), F.col("who").alias("whom")), "class")
+    within = pair.where("list <= other").withColumn("x", F.explode("who")).withColumn("y", F.explode("whom")).where("list < other or x < y")
+    columns = (F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "weight", "shared_count", "jaccard")
+    return across.select(*columns).unionByName(within.select(*columns))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``record_id, degree`` of every record with an edge."""
     return (
@@ -111,6 +136,10 @@ def topic_agreement(edges: DataFrame, assigned: DataFrame) -> DataFrame:
     within = edges.join(a, "source").join(b, "target").agg(
         F.count(F.lit(1)).alias("eligible_edges"), F.coalesce(F.sum(F.expr("int(ts = tt)")), F.lit(0)).alias("same_topic_edges")
     )
+    return _against_chance(within, assigned)
+
+
+def _against_chance(within: DataFrame, assigned: DataFrame) -> DataFrame:
     base = (
         assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("v"))
         .agg((F.sum(F.col("v") * (F.col("v") - 1)) / (F.sum("v") * (F.sum("v") - 1))).alias("baseline_share"))
