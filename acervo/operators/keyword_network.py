@@ -120,6 +120,32 @@ def network_edges(clean: DataFrame, least: float = 0.20, min_shared: int = 2, pl
     return across.select(*columns).unionByName(within.select(*columns))
 
 
+def profile_counts(clean: DataFrame, least: dict[str, float], min_shared: int = 2, plain: bool = False) -> DataFrame:
+    """``profile, edges, sources`` of the network at every threshold: its edges and the records that are the lesser end of one.
+
+    Counted by classes: a record is a source if a class linked to its own holds a greater one.
+    """
+    classes, members = keyword_classes(clean, min_shared)
+    tops = members.groupBy("class").agg(F.max("record_id").alias("top"))
+    classes = classes.join(tops, "class")
+    found = class_edges(classes, min(least.values()), min_shared, plain, ("m", "top"))
+    score = F.col("jaccard" if plain else "weight")
+    ends = found.select(score.alias("score"), F.explode(F.array(
+        F.struct(F.col("a").alias("class"), F.col("top_b").alias("top"), (F.col("m_a") * F.col("m_b")).alias("edges")),
+        F.struct(F.col("b").alias("class"), F.col("top_a").alias("top"), F.lit(0).cast("bigint").alias("edges")),
+    )).alias("e")).select("score", "e.*")
+    own = classes.where("m > 1").select(F.lit(1.0).alias("score"), "class", "top", F.expr("m * (m - 1) div 2").alias("edges"))
+    reached = lambda v: F.col("score") + EPS >= v
+    by_class = ends.unionByName(own).groupBy("class").agg(
+        *(f for k, v in least.items() for f in (F.max(F.when(reached(v), F.col("top"))).alias(f"top_{k}"), F.sum(F.when(reached(v), F.col("edges"))).alias(f"edges_{k}")))
+    )
+    by_class = cut(by_class)
+    sources = members.join(by_class.drop(*(f"edges_{k}" for k in least)), "class").agg(*(F.count_if(F.col("record_id") < F.col(f"top_{k}")).alias(f"sources_{k}") for k in least))
+    edges = by_class.agg(*(F.sum(f"edges_{k}").alias(f"edges_{k}") for k in least))
+    one = F.explode(F.array(*(F.struct(F.lit(k).alias("profile"), F.col(f"edges_{k}").alias("edges"), F.col(f"sources_{k}").alias("sources")) for k in least)))
+    return edges.crossJoin(sources).select(one.alias("p")).select("p.*").where("edges > 0")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``record_id, degree`` of every record with an edge."""
     return (

@@ -71,11 +71,7 @@ def keyword_network(spark, d):
 def network_profiles(spark, d):
     """Edges at each named threshold of the weight, and at the control threshold of plain Jaccard similarity."""
     words = cut(clean(spark, d))
-    e = cut(N.network_edges(words, min(N.PROFILES.values())).select("source", "weight"))
-    out = N.network_edges(words, N.CONTROL, plain=True).select(F.lit("control").alias("profile"), "source")
-    for name, least in N.PROFILES.items():
-        out = out.unionAll(e.where(F.col("weight") + N.EPS >= least).select(F.lit(name).alias("profile"), "source"))
-    return out.groupBy("profile").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source").alias("sources"))
+    return N.profile_counts(words, N.PROFILES).unionAll(N.profile_counts(words, {"control": N.CONTROL}, plain=True))
 
 
 @query("network_degrees", f"with {SQL_EDGES} select record_id, count(*) as degree from (select source as record_id from e union all select target from e) group by record_id")

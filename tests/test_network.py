@@ -43,3 +43,13 @@ def test_edges_are_made_of_lists_of_any_length_and_not_shuffled(words, plain, mo
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "explode(who_a" in above and "explode(who_b" in above
+
+
+def test_profiles_are_counted_by_classes(words):
+    got = rows(N.profile_counts(words, {"low": 0.2, "high": 0.6}).unionAll(N.profile_counts(words, {"plain": 0.5}, plain=True)))
+    want = []
+    for name, least, plain in (("low", 0.2, False), ("high", 0.6, False), ("plain", 0.5, True)):
+        edges = by_hand(words, least, plain)
+        want.append((name, len(edges), len({e[0] for e in edges})))
+    assert got == sorted(want, key=str)
+    assert N.profile_counts(words.limit(0), {"low": 0.2}).count() == 0
