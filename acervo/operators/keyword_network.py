@@ -146,6 +146,16 @@ def profile_counts(clean: DataFrame, least: dict[str, float], min_shared: int =
     return edges.crossJoin(sources).select(one.alias("p")).select("p.*").where("edges > 0")
 
 
+def network_degrees(clean: DataFrame, least: float = 0.20, min_shared: int = 2) -> DataFrame:
+    """``record_id, degree`` of every record with an edge, counted by classes."""
+    classes, members = keyword_classes(clean, min_shared)
+    ends = class_edges(classes, least, min_shared, carry=("m",)).select(F.explode(F.array(
+        F.struct(F.col("a").alias("class"), F.col("m_b").alias("degree")), F.struct(F.col("b").alias("class"), F.col("m_a").alias("degree")),
+    )).alias("e")).select("e.*")
+    own = classes.where("m > 1").where(F.lit(1.0) + EPS >= least).select("class", (F.col("m") - 1).alias("degree"))
+    return members.join(ends.unionByName(own).groupBy("class").agg(F.sum("degree").alias("degree")), "class").select("record_id", "degree")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``record_id, degree`` of every record with an edge."""
     return (

@@ -76,7 +76,7 @@ def network_profiles(spark, d):
 
 @query("network_degrees", f"with {SQL_EDGES} select record_id, count(*) as degree from (select source as record_id from e union all select target from e) group by record_id")
 def network_degrees(spark, d):
-    return N.degrees(edges(spark, d))
+    return N.network_degrees(cut(clean(spark, d)), LEAST)
 
 
 @query("network_components")

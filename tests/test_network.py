@@ -53,3 +53,8 @@ def test_profiles_are_counted_by_classes(words):
         want.append((name, len(edges), len({e[0] for e in edges})))
     assert got == sorted(want, key=str)
     assert N.profile_counts(words.limit(0), {"low": 0.2}).count() == 0
+
+
+def test_degrees_are_counted_by_classes(words):
+    ends = [e for x, y, _ in by_hand(words, 0.3) for e in (x, y)]
+    assert rows(N.network_degrees(words, 0.3)) == sorted(((e, ends.count(e)) for e in set(ends)), key=str)
