@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.text import label_key
+from acervo.operators.components import connected_components
 from acervo.runtime import broadcast_if_small, cut, known
 
 #: Named thresholds of the weighted similarity.
@@ -156,6 +158,42 @@ def network_degrees(clean: DataFrame, least: float = 0.20, min_shared: int = 2)
     return members.join(ends.unionByName(own).groupBy("class").agg(F.sum("degree").alias("degree")), "class").select("record_id", "degree")
 
 
+def _forests(links: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect what the given ones do; a task keeps those that join two of its trees."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = root(a), root(b)
+                keep.append(p != q)
+                up[p] = q
+            # what is forgotten costs links that were not needed
+            if len(up) > TREES_KEPT:
+                up.clear()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return links.mapInArrow(run, "a bigint, b bigint")
+
+
+def network_components(clean: DataFrame, least: float = 0.20, min_shared: int = 2) -> DataFrame:
+    """``record_id, component`` of every record with an edge: the least record of its component, found by classes."""
+    classes, members = keyword_classes(clean, min_shared)
+    own = classes.where("m > 1").where(F.lit(1.0) + EPS >= least).select(F.col("class").alias("a"), F.col("class").alias("b"))
+    links = cut(_forests(class_edges(classes, least, min_shared).select("a", "b")).unionByName(own))
+    told = members.join(connected_components(links).withColumnRenamed("node", "class"), "class")
+    names = told.groupBy("component").agg(F.min("record_id").alias("first"))
+    return told.join(names, "component").select("record_id", F.col("first").alias("component"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``record_id, degree`` of every record with an edge."""
     return (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acervo.operators import keyword_network as N
-from acervo.operators.components import connected_components
 from acervo.plans.registry import query, sql_squeeze
 from acervo.runtime import cut, table
 
@@ -82,8 +81,7 @@ def network_degrees(spark, d):
 @query("network_components")
 def network_components(spark, d):
     """Records of the network with their component."""
-    found = connected_components(edges(spark, d).select("source", "target"), "source", "target")
-    return found.select(F.col("node").alias("record_id"), F.col("component").alias("component_id"))
+    return N.network_components(cut(clean(spark, d)), LEAST).withColumnRenamed("component", "component_id")
 
 
 @query(

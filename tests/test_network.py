@@ -58,3 +58,12 @@ def test_profiles_are_counted_by_classes(words):
 def test_degrees_are_counted_by_classes(words):
     ends = [e for x, y, _ in by_hand(words, 0.3) for e in (x, y)]
     assert rows(N.network_degrees(words, 0.3)) == sorted(((e, ends.count(e)) for e in set(ends)), key=str)
+
+
+def test_components_are_found_by_classes(words, monkeypatch):
+    monkeypatch.setattr(N, "TREES_KEPT", 3)
+    part = {}
+    for x, y, _ in by_hand(words, 0.5):
+        one = part.get(x, {x}) | part.get(y, {y})
+        part |= dict.fromkeys(one, one)
+    assert rows(N.network_components(words, 0.5)) == sorted(((r, min(p)) for r, p in part.items()), key=str)
