@@ -194,6 +194,23 @@ def network_components(clean: DataFrame, least: float = 0.20, min_shared: int =
     return told.join(names, "component").select("record_id", F.col("first").alias("component"))
 
 
+def network_agreement(clean: DataFrame, assigned: DataFrame, least: float = 0.20, min_shared: int = 2) -> DataFrame:
+    """``topic_agreement`` of the network, counted by the topics of classes; ``assigned`` has each record once."""
+    classes, members = keyword_classes(clean, min_shared)
+    topics = members.join(assigned.where("topic is not null"), "record_id").groupBy("class", "topic").agg(F.count(F.lit(1)).alias("v"))
+    topics = topics.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("topic", "v"))).alias("topics"), F.sum("v").alias("e"))
+    classes = cut(classes.join(topics, "class"))
+    both = "aggregate(map_entries(topics_a), 0L, (s, x) -> s + x.value * coalesce(try_element_at(topics_b, x.key), 0L))"
+    across = class_edges(classes, least, min_shared, carry=("e", "topics")).select((F.col("e_a") * F.col("e_b")).alias("edges"), F.expr(both).alias("same"))
+    own = classes.where(F.lit(1.0) + EPS >= least).select(
+        F.expr("e * (e - 1) div 2").alias("edges"), F.expr("aggregate(map_values(topics), 0L, (s, v) -> s + v * (v - 1) div 2)").alias("same")
+    )
+    within = across.unionByName(own).agg(
+        F.coalesce(F.sum("edges"), F.lit(0)).alias("eligible_edges"), F.coalesce(F.sum("same"), F.lit(0)).alias("same_topic_edges")
+    )
+    return _against_chance(within, assigned)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``record_id, degree`` of every record with an edge."""
     return (

@@ -96,7 +96,7 @@ def network_topic_agreement(spark, d):
     """Whether linked records agree in their year, as a stand-in for a topic."""
     a = table(spark, d, "master_records").where("publication_year is not null")
     a = a.groupBy("record_id").agg(F.max("publication_year").alias("topic"))
-    return N.topic_agreement(edges(spark, d), a)
+    return N.network_agreement(cut(clean(spark, d)), a, LEAST)
 
 
 @query(

@@ -67,3 +67,11 @@ def test_components_are_found_by_classes(words, monkeypatch):
         one = part.get(x, {x}) | part.get(y, {y})
         part |= dict.fromkeys(one, one)
     assert rows(N.network_components(words, 0.5)) == sorted(((r, min(p)) for r, p in part.items()), key=str)
+
+
+def test_agreement_is_counted_by_classes(spark, words):
+    topic = {f"r{i:02}": i % 3 for i in range(36)}
+    assigned = spark.createDataFrame(list(topic.items()), "record_id string, topic int")
+    edges = [(topic[x], topic[y]) for x, y, _ in by_hand(words, 0.3) if x in topic and y in topic]
+    got = N.network_agreement(words, assigned, 0.3).first()
+    assert (got["eligible_edges"], got["same_topic_edges"]) == (len(edges), sum(x == y for x, y in edges))
