@@ -16,7 +16,8 @@ field, if it reaches ``LEAST_POSTERIOR``.
 
 For the DOI the data state which of several true values is current: the one of the row
 updated last; votes decide among rows of that very time. For the abstract, cut copies vote
-for the full text they begin, and the most complete row of the winning text is kept.
+for the full text they begin, and the most complete row of the winning text is kept. Texts
+are told apart by all their letters; a cut that begins several texts votes for the first.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ FALSE_SHARE = 0.05
 START_ACCURACY = 0.7
 #: Share of shared values that a copier is taken to copy.
 COPY_SHARE = 0.8
-#: Letters by which a cut text is recognised as the beginning of another of its group.
+#: Letters from which on a text of another group is taken to be cut from, or to continue, this one.
 HEAD = 60
 
 
@@ -59,28 +60,46 @@ def _letters(column: Column) -> Column:
     return F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", "")
 
 
-def _rungs(letters: Column) -> Column:
-    """Fingerprints of a text's beginnings of HEAD letters, twice as many, and so on; of a shorter text, itself."""
-    n = F.greatest(F.lit(0), F.floor(F.log2(F.length(letters) / HEAD))).cast("int")
-    return F.transform(F.sequence(F.lit(0), n), lambda k: F.xxhash64(k, F.substring(letters, F.lit(1), (F.lit(HEAD) * F.pow(F.lit(2), k)).cast("int"))))
+def _whole(letters: Column, *within: str) -> Column:
+    """Of a text, the first text that it begins and that begins no other, among those of ``within``.
+
+    In the order of texts a beginning stands before all that it begins.
+    """
+    order = Window.partitionBy(*within).orderBy(letters)
+    after = F.lead(letters).over(order)
+    ends = F.when(after.isNull() | ~F.startswith(after, letters), letters)
+    return F.first(ends, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+
+
+def with_values(rows: DataFrame) -> DataFrame:
+    """``rows`` (``g, core, letters``) with the whole ``text`` of its group that a row's abstract is or begins, and that text's ``value``.
+
+    Rows without an abstract of ``SHORT_CHARS`` characters have neither; one without letters
+    begins nothing.
+    """
+    told = rows.withColumn("_told", F.when((F.length("core") >= SHORT_CHARS) & (F.col("letters") != ""), F.col("letters")))
+    text = F.when(F.col("_told").isNotNull(), F.col("_text")).when(F.length("core") >= SHORT_CHARS, F.lit(""))
+    told = told.withColumn("_lacks", F.col("_told").isNull()).withColumn("_text", _whole(F.col("_told"), "g", "_lacks"))
+    # told by all letters, in the order of the first ones
+    value = F.concat(F.substring("text", 1, HEAD), F.lit(" "), F.md5("text"))
+    return told.withColumn("text", text).withColumn("value", value).drop("_told", "_lacks", "_text")
 
 
 def _votes(rows: DataFrame) -> DataFrame:
     """``g, source, field, value, key, bin``: one row per vote; ``key`` is the value told from those of all
     groups, ``bin`` the doublings of the number of groups that hold it.
 
-    An abstract counts as held by every group with a text of the same beginning, as far as
-    the longest rung of the value's own longest text in its group.
+    An abstract counts as held by every group with a text that is, begins or continues it;
+    of less than ``HEAD`` letters, by those with the very text.
     """
     doi = rows.where("doi is not null").select("g", "source", F.lit("doi").alias("field"), F.col("doi").alias("value"), F.xxhash64("doi").alias("key"))
     spread = doi.groupBy("value").agg(F.countDistinct("g").alias("groups"))
     doi = doi.distinct().join(spread, "value")
-    text = rows.where(F.length("core") >= SHORT_CHARS)
-    told = text.select("g", F.col("head").alias("value"), "letters").groupBy("g", "value").agg(F.max_by("letters", F.length("letters")).alias("letters"))
-    rungs = told.select("g", "value", _rungs(F.col("letters")).alias("rungs"))
-    held = text.select("g", F.explode(_rungs(F.col("letters"))).alias("rung")).distinct().groupBy("rung").agg(F.count(F.lit(1)).alias("groups"))
-    spread = rungs.select("g", "value", F.element_at("rungs", -1).alias("rung")).join(held, "rung").select("g", "value", F.col("rung").alias("key"), "groups")
-    abstract = text.select("g", "source", F.lit("abstract").alias("field"), F.col("head").alias("value")).distinct().join(spread, ["g", "value"])
+    text = rows.where("value is not null").select("g", "source", "value", "text")
+    held = text.select("g", "value", "text").distinct().withColumn("head", F.substring("text", 1, HEAD))
+    held = held.withColumn("key", F.xxhash64(_whole(F.col("text"), "head"))).select("g", "value", "key")
+    spread = held.join(held.groupBy("key").agg(F.countDistinct("g").alias("groups")), "key")
+    abstract = text.select("g", "source", F.lit("abstract").alias("field"), "value").distinct().join(spread, ["g", "value"])
     columns = ("g", "source", "field", "value", "key", "groups")
     return doi.select(*columns).unionByName(abstract.select(*columns)).withColumn("bin", F.ceil(F.log2("groups")).cast("int"))
 
@@ -182,9 +201,8 @@ def survivors(corpus: DataFrame) -> DataFrame:
         )
         .distinct()
         .withColumn("letters", _letters(F.col("core")))
-        .withColumn("head", F.substring("letters", 1, HEAD))
     )
-    rows = cut(rows)
+    rows = cut(with_values(rows).drop("letters"))
     votes = cut(_votes(rows))
     posterior = cut(fuse(votes))
     dois = (
@@ -197,12 +215,12 @@ def survivors(corpus: DataFrame) -> DataFrame:
         rows.where("core is not null")
         .join(
             posterior.where(f"field = 'abstract' and posterior >= {LEAST_POSTERIOR}"),
-            (rows["head"] == posterior["value"]) & (rows["g"] == posterior["g"]),
+            (rows["value"] == posterior["value"]) & (rows["g"] == posterior["g"]),
         )
         .groupBy(rows["g"])
         .agg(
             F.max_by(
-                "document_id", F.struct("posterior", "value", F.length("core").alias("n"), "at", "document_id")
+                "document_id", F.struct("posterior", rows["value"], F.length("core").alias("n"), "at", "document_id")
             ).alias("document_id")
         )
     )

@@ -98,6 +98,16 @@ xiv"""
 CLEAN = ("La planificación de la escuela rural orienta el trabajo de los equipos con base teórico-práctica en el campo. La escuela comparte el trabajo. " * 6).strip()
 
 
+
+def test_texts_that_begin_alike_are_told_apart_by_all_letters(corpus):
+    start = "This article examines the leadership of principals in schools and the work of their teams over time. "
+    ends = ["Interviews in six towns show how meetings were run.", "Statistics of forty districts are compared at length, table by table, with those of an earlier study."]
+    rows = [(start + ends[k == 3], k + 1) for k in range(4)] + [(start + "Interviews in six...", 9)]
+    df = corpus(*[{"document_id": f"d{k}", "duplicate_group_id": "g", "abstract": t, "source_database": f"s{k}", "updated_at": day(at)} for k, (t, at) in enumerate(rows)])
+    # the longer text has one vote, the other has those of its copies and of its cut
+    assert survivors.survivors(df).first()["document_id"] == "d2"
+
+
 def test_scanned_text_is_repaired(corpus):
     df = corpus(
         {"document_id": "s", "text_for_modeling": PAGE, "pdf_path_or_id": "x.pdf"},
