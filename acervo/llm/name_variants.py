@@ -1,17 +1,18 @@
-"""Variant spellings of names: phonetic blocks, Jaro-Winkler with nicknames, components.
+"""Variant spellings of names: blocks by letters, Jaro-Winkler with nicknames, components.
 
 A name is read into family words (particles and hyphens aside), given names in full form,
 and for organisations a head and its own words. Names that read alike are one node. A
 comma tells the family words; without one a name is read in either order. Nodes are
-blocked by the phonetic code of a family word with the first letter of the given name,
-over all readings of the tokens in order, and by that code with any one sound left out,
-so one slip still meets. Pairs of a block are compared by Jaro-Winkler word by word with
+blocked by the first letter of the given name with the letters of the first family word, and of
+all family words, over all readings of the tokens in order, and by these with any one letter left
+out, so one slip still meets. Pairs of a block are compared by Jaro-Winkler word by word with
 the nickname table; of names in opposite orders all words must agree in full. Accepted
 pairs are clustered by connected components.
 
-In a block of more than ``HOT`` nodes, only those meet that can agree: full given names
-under the codes of both given names, second family words under their codes, while names
-with an initial, or with one family word, meet whatever these leave open.
+Words that agree are one slip apart at most, so they share their letters or these with one left
+out. In a block of more than ``HOT`` nodes only those meet that share such codes of the given
+names and of the second family words, while names with an initial, or with one family word, meet
+whatever these leave open. That leaves out no pair that agrees: ``HOT`` changes no result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,39 +109,10 @@ def read(name: str) -> Name:
     )
 
 
-@lru_cache(maxsize=30_000)
-def sounds(word: str) -> str:
-    """Consonant skeleton: letters that sound alike become one, doubles and vowels go."""
-    w = word
-    for a, b in (("qu", "k"), ("ch", "x"), ("ll", "l"), ("rr", "r"), ("gue", "ge"), ("gui", "gi"), ("ph", "f"), ("h", "")):
-        w = w.replace(a, b)
-    out = []
-    for i, c in enumerate(w):
-        after = w[i + 1] if i + 1 < len(w) else ""
-        if c == "c":
-            c = "s" if after in "ei" and after else "k"
-        elif c == "z":
-            c = "s"
-        elif c in "vw":
-            c = "b"
-        elif c == "g" and after and after in "ei":
-            c = "j"
-        elif c == "y":
-            c = "i"
-        if i and c == w[i - 1]:
-            continue
-        if c not in "aeiou" or not out and i == 0:
-            out.append(c)
-    return "".join(out)
-
-
-def codes(word: str) -> list[str]:
-    """The sounds of a word, and these with any one left out."""
-    code = sounds(word)
-    out = {code}
-    if len(code) > 3:
-        out |= {code[:i] + code[i + 1 :] for i in range(len(code))}
-    return sorted(out)
+def letters(word: str) -> list[str]:
+    """A word, and it with any one letter left out; words one slip apart share one of these."""
+    # a slip in fewer letters is another word
+    return sorted({word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 3 else set()))
 
 
 @lru_cache(maxsize=30_000)
@@ -158,7 +131,8 @@ def block_keys(name: str) -> list[str]:
     for n in (read(name), *turned(name)):
         if n.family:
             first = n.head if n.group else (n.given[0][0] if n.given else "")
-            keys |= {f"{first}|{c}" for c in codes("".join(n.family) if n.group else n.family[0])}
+            words = {"".join(n.family)} if n.group else {"".join(n.family), n.family[0]}
+            keys |= {f"{first}|{c}" for w in words for c in letters(w)}
     return sorted(keys)
 
 
@@ -249,28 +223,29 @@ def _reading(names: DataFrame) -> DataFrame:
                 full = n.given[0] if n.given and len(n.given[0]) > 1 else ""
                 vague = full and full not in GIVEN_NAMES and len(_close(full)) > 1
                 # in opposite order the given name is another token
-                given = {g.given[0] for g in (n, *turned(name)) if g.given and len(g.given[0]) > 1}
-                second = []
-                if n.group or len(n.family) > 1:
-                    second = [f"={c}" for c in codes("".join(n.family))] + ([] if n.group else codes(n.family[1]))
+                readings = [r for r in (n, *turned(name)) if r.family]
+                given = {r.given[0] for r in readings if r.given and len(r.given[0]) > 1}
+                second = set()
+                if all(r.group or len(r.family) > 1 for r in readings):
+                    second = {f"={c}" for r in readings for c in letters("".join(r.family))} | {c for r in readings if not r.group for c in letters(r.family[1])}
                 row = (
                     name,
                     "|".join((n.head, " ".join(n.family), " ".join(n.given))),
-                    keys,
+                    [xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys],
                     f"?{full}" if vague else full,  # a slip that fits several names
-                    sorted({c for g in given for c in (*codes(g), f"<{g[:3]}")}) if full else [],
-                    second if not turned(name) or len(name.split()) < 3 else [],
+                    sorted({c for g in given for c in (*letters(g), f"<{g[:3]}")}) if full else [],
+                    sorted(second),
                 )
                 for c, v in zip(cols, row):
                     c.append(v)
             text, texts = pa.string(), pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, (text, text, texts, text, texts, texts))],
+                [pa.array(c, k) for c, k in zip(cols, (text, text, pa.list_(pa.int64()), text, texts, texts))],
                 names=["name", "reading", "keys", "given", "given_codes", "second_codes"],
             )
 
     return names.mapInArrow(
-        run, "name string, reading string, keys array<string>, given string, given_codes array<string>, second_codes array<string>"
+        run, "name string, reading string, keys array<bigint>, given string, given_codes array<string>, second_codes array<string>"
     )
 
 
@@ -320,7 +295,7 @@ def name_links(names: DataFrame) -> DataFrame:
     rows = rows.join(rows.groupBy("reading").agg(F.min("name").alias("node")), "reading")
     alike = rows.where("name <> node").select(F.col("node").alias("a"), F.col("name").alias("b"))
     nodes = cut(rows.where("name = node").drop("node", "reading"))
-    blocks = nodes.select("name", "given_codes", "second_codes", F.explode("keys").alias("key"))
+    blocks = nodes.select("name", F.explode("keys").alias("key"))
     counts = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = cut(blocks.join(counts, "key"))
     small = sized.where(F.col("n") <= HOT).select("name", "key")
@@ -330,7 +305,7 @@ def name_links(names: DataFrame) -> DataFrame:
         .where("a < b")
         .select("a", "b")
     )
-    hot = sized.where(F.col("n") > HOT)
+    hot = sized.where(F.col("n") > HOT).join(nodes.select("name", "given_codes", "second_codes"), "name")
     if not hot.isEmpty():
         met = met.unionAll(_long_block_pairs(hot))
     met = met.distinct()

@@ -54,6 +54,19 @@ def test_second_family_words_meet_their_initials_in_long_blocks(records, monkeyp
     assert clusters(name_variants.name_clusters(df)) == want and [len(c) for c in want] == [3] * 4
 
 
+def test_long_blocks_lose_no_pair_of_short_ones(records, monkeypatch):
+    pairs = [("Sômia Trandurrelez", "Trndurrelez, Sônia"), ("Gezivedín, Sônia Luis", "Sôia Gezivedín"), ("Juan-Carlos Torres-Vega", "Torres Vega, Juan Carlos")]
+    df = records(*[{"record_id": str(k), "authors": "; ".join(p)} for k, p in enumerate(pairs)])
+    for hot in (200, 0):
+        monkeypatch.setattr(name_variants, "HOT", hot)
+        assert clusters(name_variants.name_clusters(df)) == sorted(sorted(p) for p in pairs)
+
+
+def test_names_meet_by_their_letters():
+    meet = lambda a, b: set(name_variants.block_keys(a)) & set(name_variants.block_keys(b))
+    assert meet("Digezedez, Francisco", "Digrzedez, Francisco") and not meet("Silvorodor, Ana", "Salvarador, Ana")
+
+
 def test_an_initial_that_fits_two_people_links_neither(records):
     df = records({"record_id": "1", "authors": "Silvorodor, Ana; Silvorodor, Alejandro; Silvorodor, A."})
     assert clusters(name_variants.name_clusters(df)) == []
