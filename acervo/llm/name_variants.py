@@ -5,7 +5,7 @@ and for organisations a head and its own words. Names that read alike are one no
 comma tells the family words; without one a name is read in either order. Nodes are
 blocked by the first letter of the given name with the letters of the first family word, and of
 all family words, over all readings of the tokens in order, and by these with any one letter left
-out, so one slip still meets. Pairs of a block are compared by Jaro-Winkler word by word with
+out, so one slip still meets; two names that are both turned do not. Pairs of a block are compared by Jaro-Winkler word by word with
 the nickname table; of names in opposite orders all words must agree in full. Accepted
 pairs are clustered by connected components.
 
@@ -127,13 +127,15 @@ def turned(name: str) -> tuple[Name, ...]:
 
 def block_keys(name: str) -> list[str]:
     """Codes under which a name meets its variants."""
-    keys = set()
-    for n in (read(name), *turned(name)):
-        if n.family:
-            first = n.head if n.group else (n.given[0][0] if n.given else "")
-            words = {"".join(n.family)} if n.group else {"".join(n.family), n.family[0]}
-            keys |= {f"{first}|{c}" for w in words for c in letters(w)}
-    return sorted(keys)
+    return sorted(_keys(read(name)).union(*map(_keys, turned(name))))
+
+
+def _keys(n: Name) -> set[str]:
+    if not n.family:
+        return set()
+    first = n.head if n.group else (n.given[0][0] if n.given else "")
+    words = {"".join(n.family)} if n.group else {"".join(n.family), n.family[0]}
+    return {f"{first}|{c}" for w in words for c in letters(w)}
 
 
 @lru_cache(maxsize=60_000)
@@ -210,15 +212,16 @@ def _all_agree(a: Name, b: Name) -> bool:
 
 
 def _reading(names: DataFrame) -> DataFrame:
-    """``name, reading, keys, given, given_codes, second_codes`` of every name with a family word."""
+    """``name, reading, keys, turned_keys, given, given_codes, second_codes`` of every name with a family word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for name in batch.column(0).to_pylist():
                 n = read(name)
-                keys = block_keys(name)
-                if not keys:
+                keys = _keys(n)
+                opposite = set().union(*map(_keys, turned(name))) - keys
+                if not keys | opposite:
                     continue
                 full = n.given[0] if n.given and len(n.given[0]) > 1 else ""
                 vague = full and full not in GIVEN_NAMES and len(_close(full)) > 1
@@ -231,26 +234,39 @@ def _reading(names: DataFrame) -> DataFrame:
                 row = (
                     name,
                     "|".join((n.head, " ".join(n.family), " ".join(n.given))),
-                    [xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys],
+                    *([xxhash.xxh64_intdigest(k) - (1 << 63) for k in sorted(ks)] for ks in (keys, opposite)),
                     f"?{full}" if vague else full,  # a slip that fits several names
                     sorted({c for g in given for c in (*letters(g), f"<{g[:3]}")}) if full else [],
                     sorted(second),
                 )
                 for c, v in zip(cols, row):
                     c.append(v)
-            text, texts = pa.string(), pa.list_(pa.string())
+            text, texts, hashes = pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, (text, text, pa.list_(pa.int64()), text, texts, texts))],
-                names=["name", "reading", "keys", "given", "given_codes", "second_codes"],
+                [pa.array(c, k) for c, k in zip(cols, (text, text, hashes, hashes, text, texts, texts))],
+                names=["name", "reading", "keys", "turned_keys", "given", "given_codes", "second_codes"],
             )
 
     return names.mapInArrow(
-        run, "name string, reading string, keys array<bigint>, given string, given_codes array<string>, second_codes array<string>"
+        run, "name string, reading string, keys array<bigint>, turned_keys array<bigint>, given string, given_codes array<string>, second_codes array<string>"
     )
 
 
+def _meet(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """``a, b``: different names of ``left`` and ``right`` that agree in ``on``, not both of them turned."""
+    side = lambda df, name: df.select(*on, F.col("name").alias(name), F.col("opposite").alias(f"{name}_turned"))
+    met = side(left.where(~F.col("opposite")), "c").join(side(right, "d"), list(on))
+    if left is right:
+        # the other way round gives the same pairs
+        met = met.where("d_turned or c < d")
+    else:
+        met = met.unionAll(side(left.where("opposite"), "c").join(side(right.where(~F.col("opposite")), "d"), list(on)))
+    met = met.where("c <> d")
+    return met.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+
+
 def _long_block_pairs(hot: DataFrame) -> DataFrame:
-    """``a, b``: pairs of long blocks (``key, name, given_codes, second_codes``) that can agree.
+    """``a, b``: pairs of long blocks (``key, name, opposite, given_codes, second_codes``) that can agree.
 
     A list of codes is empty where a name leaves the word open; it then meets all.
     """
@@ -258,15 +274,12 @@ def _long_block_pairs(hot: DataFrame) -> DataFrame:
     by = {"g": F.explode("given_codes").alias("g"), "s": F.explode("second_codes").alias("s")}
 
     def meet(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
-        def side(df: DataFrame, name: str) -> DataFrame:
-            df = df.select("key", F.col("name").alias(name), "given_codes", "second_codes")
+        def side(df: DataFrame) -> DataFrame:
             for k in on:
                 df = df.select("*", by[k])
-            return df.select("key", name, *on)
+            return df.select("key", "name", "opposite", *on)
 
-        return side(left, "c").join(side(right, "d"), ["key", *on]).where("c <> d").select(
-            F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")
-        )
+        return _meet(side(left), side(right), "key", *on)
 
     known_all, no_second, initial = hot.where(full & double), hot.where(full & ~double), hot.where(~full)
     return (
@@ -295,16 +308,12 @@ def name_links(names: DataFrame) -> DataFrame:
     rows = rows.join(rows.groupBy("reading").agg(F.min("name").alias("node")), "reading")
     alike = rows.where("name <> node").select(F.col("node").alias("a"), F.col("name").alias("b"))
     nodes = cut(rows.where("name = node").drop("node", "reading"))
-    blocks = nodes.select("name", F.explode("keys").alias("key"))
-    counts = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = cut(blocks.join(counts, "key"))
-    small = sized.where(F.col("n") <= HOT).select("name", "key")
-    met = (
-        small.select("key", F.col("name").alias("a"))
-        .join(small.select("key", F.col("name").alias("b")), "key")
-        .where("a < b")
-        .select("a", "b")
-    )
+    keys = lambda c, opposite: nodes.select("name", F.explode(c).alias("key"), F.lit(opposite).alias("opposite"))
+    blocks = keys("keys", False).unionAll(keys("turned_keys", True))
+    counts = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.every("opposite").alias("none")).where("n > 1 and not none")
+    sized = cut(blocks.join(counts.drop("none"), "key"))
+    small = sized.where(F.col("n") <= HOT).select("name", "key", "opposite")
+    met = _meet(small, small, "key")
     hot = sized.where(F.col("n") > HOT).join(nodes.select("name", "given_codes", "second_codes"), "name")
     if not hot.isEmpty():
         met = met.unionAll(_long_block_pairs(hot))
