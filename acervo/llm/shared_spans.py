@@ -5,12 +5,15 @@ alike wherever it is alike. A last round names runs of final symbols that span
 ``WINDOW`` characters; of these the least in any stretch of ``SPREAD`` characters are
 kept. ``2 * EDGE + WINDOW + LONGEST + SPREAD`` characters at most are needed for two equal
 spans to keep the same name at the same place, which is no more than ``least``, so every
-shared span of that length meets in a name. Places that meet are extended in the texts to
-the longest equal span, which both reveals its ends and verifies it.
-
-Exact copies meet as one class. A name shared by more than ``HOT`` classes is told apart by
-the fingerprints of all stretches of ``least`` characters around it before pairs are made,
-so boilerplate shorter than ``least`` yields no pairs however common it is.
+shared span of that length meets in a name. An equal span of ``least`` characters around
+two places covers at least half of what ``WINDOW`` leaves of it before or behind them, so
+places meet by their name with the fingerprint of that many characters on one side or on
+the other; most boilerplate parts there, before any text is asked for. Places that meet are
+extended in the texts to the longest equal span, which both reveals its ends and verifies it.
+
+Exact copies meet as one class. A name and side shared by more than ``HOT`` classes is told
+apart by the fingerprints of all stretches of ``least`` characters around it before pairs are
+made, so boilerplate shorter than ``least`` yields no pairs however common it is.
 """
 
 from __future__ import annotations
@@ -43,15 +46,46 @@ def _spread(least: int, window: int) -> int:
     return spread
 
 
+def _half(least: int, window: int) -> int:
+    """Characters that an equal span of ``least`` covers before or behind a window in it, at least."""
+    return (least - window + 1) // 2
+
+
+def _sides(texts: list[str], start: np.ndarray, owner: np.ndarray, window: int, half: int) -> np.ndarray:
+    """16 bits of the ``half`` characters before each place and 16 of those behind its window; 0: too few characters."""
+    size = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    base = (np.cumsum(size) - size)[owner]
+    odd = np.uint64(0x9E3779B97F4A7C15 | 1)
+    with np.errstate(over="ignore"):
+        h = R.mix(code.astype(np.uint64) + np.uint64(1))
+        power = np.full(len(h) + 1, odd)
+        power[0] = 1
+        power = np.cumprod(power)
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:-1])))
+        inverse = np.full(len(h) + 1, np.uint64(pow(int(odd), -1, 1 << 64)))
+        inverse[0] = 1
+        inverse = np.cumprod(inverse)
+        sides = []
+        for first in (start - half, start + window):
+            there = (first >= 0) & (first + half <= size[owner])
+            at = np.where(there, base + first, 0)
+            value = R.mix((prefix[np.where(there, at + half, 0)] - prefix[at]) * inverse[at]) >> np.uint64(48)
+            sides.append(np.where(there, np.maximum(value, np.uint64(1)), np.uint64(0)).astype(np.uint32))
+    return (sides[0] << np.uint32(16) | sides[1]).view(np.int32)
+
+
 def _name_places(window: int, spread: int, least: int):
-    """mapInArrow function: (class, text) -> (name, class, start)."""
+    """mapInArrow function: (class, text) -> (name, class, start, sides)."""
+    half = _half(least, window)
 
     def emit(classes: list[int], texts: list[str]) -> pa.RecordBatch:
         name, start, _, owner = R.anchors(texts, window, spread)
         own = np.array(classes, dtype=np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
+        sides = _sides(texts, start, owner, window, half) if len(owner) else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(name.view(np.int64)), pa.array(own), pa.array(start.astype(np.int32))],
-            names=["name", "class", "start"],
+            [pa.array(name.view(np.int64)), pa.array(own), pa.array(start.astype(np.int32)), pa.array(sides)],
+            names=["name", "class", "start", "sides"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +206,21 @@ def _shared_names(places: DataFrame) -> DataFrame:
     name stream by and are never gathered.
     """
     places = places.repartition("name")
-    told = (F.min("class").alias("low"), F.max("class").alias("high"), F.min("start").alias("first"), F.count(F.lit(1)).alias("n"))
-    # starts are 0 or more; asking for them keeps both sides alike, so the shuffle is made once
-    counts = places.groupBy("name").agg(*told).where("low < high and first >= 0")
-    return places.join(counts.select("name", "n"), "name").select("name", "class", "start", "n")
+    told = [F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")]
+    # asking for what is never null keeps both sides alike, so the shuffle is made once
+    rest = [c for c in places.columns if c not in ("name", "class")]
+    counts = places.groupBy("name").agg(*told, *(F.min(c).alias(c) for c in rest)).where("low < high")
+    for c in rest:
+        counts = counts.where(F.col(c).isNotNull())
+    return places.join(counts.select("name", "n"), "name")
+
+
+def _by_side(places: DataFrame) -> DataFrame:
+    """``name, class, start`` by the name and the characters before the place, and by it and those behind."""
+    before, behind = F.shiftrightunsigned("sides", 16), F.col("sides").bitwiseAND(0xFFFF)
+    side = lambda k, value: F.when(value != 0, F.xxhash64("name", F.lit(k), value))
+    sided = places.select("class", "start", F.explode(F.array(side(0, before), side(1, behind))).alias("name"))
+    return sided.where("name is not null").select("name", "class", "start")
 
 
 def with_classes(rows: DataFrame) -> DataFrame:
@@ -202,7 +247,8 @@ def of_asked(rows: DataFrame, asked: DataFrame, bits: int = MAP_BITS) -> DataFra
     byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.bit_get(byte, (at % 8).cast("int"))
     likely = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket").where(bit == 1)
-    return likely.select(*rows.columns).join(asked, "class", "left_semi")
+    # no semi join: that would be pushed below the bitmap, before which all texts are shuffled
+    return likely.select(*rows.columns).join(asked.select("class").distinct(), "class")
 
 
 def shared_spans(
@@ -221,9 +267,9 @@ def shared_spans(
     rows = with_classes(rows)
     members = cut(rows.select("class", F.col("key").alias(key), F.length("text").alias("n")))
     named = rows.select("class", "text").mapInArrow(
-        _name_places(window, spread, least), "name bigint, class bigint, start int"
+        _name_places(window, spread, least), "name bigint, class bigint, start int, sides int"
     )
-    met = cut(_shared_names(named))
+    met = cut(_shared_names(_by_side(_shared_names(named))))
     hot = met.where(F.col("n") > HOT)
     cool = met.where(F.col("n") <= HOT).select("name", "class", "start")
     if not hot.isEmpty():

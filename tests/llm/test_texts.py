@@ -315,6 +315,25 @@ def test_bitmaps_lose_no_class(spark, bits):
     assert shared_spans.of_asked(rows, asked.limit(0), bits).count() == 0
 
 
+def test_the_bitmap_goes_before_the_texts_are_shuffled(spark):
+    rows = spark.range(300).selectExpr("id as class", "'t' as text")
+    plan = shared_spans.of_asked(rows, spark.range(9).selectExpr("id as class"))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "_bucket" not in joins[0] and "_bucket" in joins[1]
+
+
+def test_short_boilerplate_meets_in_no_place(spark):
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    plate, long = word(150), word(250)
+    texts = [(k, word(260) + (plate if k < 4 else long) + word(260)) for k in range(6)]
+    rows = spark.createDataFrame(texts, "class bigint, text string")
+    named = rows.mapInArrow(shared_spans._name_places(72, shared_spans._spread(250, 72), 250), "name bigint, class bigint, start int, sides int")
+    met = shared_spans._shared_names(named)
+    assert {r["class"] for r in met.collect()} == set(range(6))
+    assert {r["class"] for r in shared_spans._shared_names(shared_spans._by_side(met)).collect()} == {4, 5}
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     spans, members = shared_spans.shared_spans(df)
