@@ -1,6 +1,7 @@
 """Problems 1, 4 and 7: names, candidates and near-duplicate records."""
 
 import itertools
+import random
 
 import pyarrow as pa
 
@@ -234,6 +235,22 @@ def test_the_union_sketch_is_the_least_of_both():
     assert shared.tolist() == [2, 4, 0] and estimate.tolist() == [0.5, 1.0, 0.0]
 
 
+def test_places_tell_the_estimate_and_gates_part_pairs(spark):
+    draw = random.Random(3)
+    gates = [pub.gate(pub.record(TITLE + part, "Silva, A.", year)) for part in ("", " (II)") for year in (2001, 2004, 2015)]
+    rows = [(c, draw.choice(gates), sorted(draw.sample(range(60), draw.choice((1, 8, 24))))) for c in range(40)]
+    listed = [(c, g, len(v), x, k, 2) for c, g, v in rows for k, x in enumerate(v)]
+    sized = spark.createDataFrame(listed, "class bigint, gate bigint, size int, value bigint, place int, n int")
+    got = {tuple(r) for r in near_records.short_pairs(sized, spark.createDataFrame([], "class bigint, hot int")).collect()}
+    pairs = list(itertools.combinations(rows, 2))
+    kind = pa.list_(pa.int64())
+    likely = near_records.likely_pairs(*(pa.array([p[k][2] for p in pairs], kind) for k in (0, 1)))
+    years, parts = {g: (2001, 2004, 2015)[k % 3] for k, g in enumerate(gates)}, {g: k // 3 for k, g in enumerate(gates)}
+    near = lambda g, h: abs(years[g] - years[h]) <= 3 and parts[g] == parts[h]
+    assert got == {(a[0], b[0], True) for (a, b), ok in zip(pairs, likely) if ok and near(a[1], b[1])}
+    assert 0 < len(got) < sum(likely)
+
+
 def test_long_and_short_lists_give_the_same_groups(spark, sf_dir, monkeypatch):
     rows = spark.read.parquet(f"{sf_dir}/master_records.parquet")
     want = groups(near_records.near_records(rows))
