@@ -1,6 +1,7 @@
 """Problems 1, 4 and 7: names, candidates and near-duplicate records."""
 
 import itertools
+import math
 import random
 
 import pyarrow as pa
@@ -214,6 +215,71 @@ def test_retrieval_is_exact_from_the_threshold_on(spark, monkeypatch):
     assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_rows_of_bytes_find_what_all_scores_would(monkeypatch):
+    draw = random.Random(5)
+    docs = []
+    for d in range(300):
+        terms = {draw.randrange(200, 500)} | {draw.choice((0, 100)) + draw.randrange(40) for _ in range(draw.choice((2, 6, 12)))}
+        docs.append((d, draw.choice((-1, -1, -1, 5)), [{"term": 10_000 + t, "tf": draw.choice((0.25, 1.0, 1.0))} for t in terms]))
+    docs += [(d + 1000, owner, terms) for d, owner, terms in docs[:40]]  # ties
+    table = pa.table({"doc": [d for d, _, _ in docs], "owner": [o for _, o, _ in docs], "terms": [t for _, _, t in docs], "len": [float(sum(x["tf"] for x in t)) for _, _, t in docs]})
+    seen = {}
+    for _, _, terms in docs:
+        for x in terms:
+            seen[x["term"]] = seen.get(x["term"], 0) + 1
+    # large enough for sums that no byte holds
+    w = {10_000 + t: 6 * math.log(1 + len(docs) / seen.get(10_000 + t, 1)) for t in range(500)}
+    asks = []
+    for q in range(60):
+        terms = {x["term"] for x in docs[draw.randrange(300)][2]} | {10_000 + draw.randrange(500) for _ in range(draw.randrange(4))}
+        terms = sorted(((w[t], t) for t in terms), reverse=True)
+        asks.append((q, terms, sum(x for x, _ in terms), draw.choice((-1, draw.randrange(300)))))
+    avg = sum(table["len"].to_pylist()) / len(docs)
+    part = lambda tf, n: tf * (entity_match.K1 + 1) / (tf + entity_match.K1 * (1 - entity_match.B + entity_match.B * n / avg))
+    want = []
+    for q, terms, own, skip in asks:
+        scored = []
+        for d, owner, held in docs:
+            tf, n = {x["term"]: x["tf"] for x in held}, float(sum(x["tf"] for x in held))
+            score = 0.0
+            for x, t in terms:
+                score += x * part(tf[t], n) if t in tf else 0.0
+            if owner in (-1, q) and d != skip and score >= 0.2 * own:
+                scored.append((-score, d))
+        want += [(q, d, -s) for s, d in sorted(scored)[: entity_match.TOP]]
+    for bounds in ({}, {"SHORT": 2, "RARE": 1000, "RUN": 8, "GAP": 0, "QUERIES": 4}, {"SHORT": 2, "RARE": 1000, "RUN": 16, "GAP": 2, "ROWS": 5, "ENTRIES": 50}):
+        for name, value in bounds.items():
+            monkeypatch.setattr(entity_match, name, value)
+        terms = pa.array([[{"w": x, "term": t} for x, t in a[1]] for a in asks])
+        queries = pa.table({"q": [a[0] for a in asks], "terms": terms, "own": [a[2] for a in asks], "skip": [a[3] for a in asks]})
+        blocks = [entity_match._index(table.slice(k, 128), avg) for k in range(0, len(docs), 128)]
+        got = entity_match._best(queries, blocks, tau=0.2).select(["q", "doc", "score"]).to_pylist()
+        got = [(x["q"], x["doc"], x["score"]) for x in got]
+        assert len(want) > 100 and [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want))
+
+
+def test_documents_are_not_shuffled_again_for_more_candidates(spark, monkeypatch):
+    sc = spark.sparkContext
+    asks = spark.createDataFrame([(q, [f"t{q % 50}", f"t{q % 7}"], None) for q in range(40)], "q bigint, terms array<string>, skip bigint")
+    docs = spark.range(500).selectExpr("id as doc", "-1L as owner", "array(struct(xxhash64(concat('t', id % 50)) as term, 1.0D as tf)) as terms", "1.0D as len")
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        nothing = (sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, *nothing)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    rows, found = [], []
+    for chunk in (40, 1):
+        monkeypatch.setattr(entity_match, "CHUNK", chunk)
+        before = shuffled()
+        found.append(sorted(map(tuple, entity_match.retrieve(asks, docs).collect())))
+        rows.append(shuffled() - before)
+    assert found[0] == found[1] and len(found[0]) == 120
+    assert rows[1] < rows[0] + 500
+
+
 def test_terms_that_many_records_hold_still_find_them(spark, records, monkeypatch):
     monkeypatch.setattr(entity_match, "BLOCK", 100)
     monkeypatch.setattr(entity_match, "CHUNK", 1)
